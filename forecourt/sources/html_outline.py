@@ -1,0 +1,181 @@
+"""HTML pages to a flat outline that Spark expressions can query.
+
+Python only tokenises a page: it returns the wanted elements in document order, each with the
+number of wanted elements inside it, and the text pieces of the page. Which element holds which
+field is decided by Spark expressions (`inside`, `text_of`, `has_class` below).
+"""
+
+from __future__ import annotations
+
+import sys
+from collections import Counter
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+# The tokeniser travels with the job, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Elements without an end tag, and elements whose text is not page text.
+VOID_TAGS = frozenset(
+    "area base basefont bgsound br col command embed frame hr image img input isindex keygen "
+    "link menuitem meta nextid param source spacer track wbr".split()
+)
+SILENT_TAGS = frozenset(["script", "style", "template", "rt", "rp"])
+
+NODE = T.StructType([
+    T.StructField("at", T.IntegerType()),  # 1-based position in the outline
+    T.StructField("inner", T.IntegerType()),  # wanted elements inside; they follow at once
+    T.StructField("tag", T.StringType()),
+    T.StructField("classes", T.StringType()),  # class attribute, single spaces
+    T.StructField("toggle", T.StringType()),
+    T.StructField("href", T.StringType()),
+    T.StructField("first_text", T.IntegerType()),  # 1-based position in the text pieces
+    T.StructField("texts", T.IntegerType()),
+])
+_NODE_ARROW = pa.list_(pa.struct([
+    (f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int32()) for f in NODE
+]))
+OUTPUT_ROWS = 500
+
+
+class _Outline(HTMLParser):
+    def __init__(self, wanted: frozenset[str]):
+        super().__init__(convert_charrefs=True)
+        self.wanted = wanted
+        self.nodes: list[dict] = []
+        self.pieces: list[str] = []
+        self._data: list[str] = []
+        self._open: list[tuple[str, dict | None]] = []
+        self._depth: Counter[str] = Counter()
+        self._silent = 0
+        self._kept = 0
+
+    def _end_text(self) -> None:
+        piece = "".join(self._data).strip()
+        self._data.clear()
+        if piece and self._kept and not self._silent:
+            self.pieces.append(piece)
+
+    def _end_element(self) -> str:
+        tag, node = self._open.pop()
+        self._depth[tag] -= 1
+        if node is not None:
+            node["inner"] = len(self.nodes) - node["at"]
+            node["texts"] = len(self.pieces) + 1 - node["first_text"]
+            self._kept -= 1
+        self._silent -= tag in SILENT_TAGS
+        return tag
+
+    def handle_starttag(self, tag, attrs):
+        self._end_text()
+        node = None
+        if tag in self.wanted:
+            named = dict(attrs)
+            node = {
+                "at": len(self.nodes) + 1, "inner": 0, "tag": tag,
+                "classes": " ".join((named.get("class") or "").split()),
+                "toggle": named.get("data-toggle"), "href": named.get("href"),
+                "first_text": len(self.pieces) + 1, "texts": 0,
+            }
+            self.nodes.append(node)
+        if tag not in VOID_TAGS:
+            self._open.append((tag, node))
+            self._depth[tag] += 1
+            self._kept += node is not None
+            self._silent += tag in SILENT_TAGS
+
+    def handle_endtag(self, tag):
+        self._end_text()
+        if self._depth[tag]:
+            while self._end_element() != tag:
+                pass
+
+    def handle_data(self, data):
+        self._data.append(data)
+
+    def handle_comment(self, data):
+        self._end_text()
+
+    def handle_decl(self, decl):
+        self._end_text()
+
+    def handle_pi(self, data):
+        self._end_text()
+
+    def outline(self, html: str) -> tuple[list[dict], list[str]] | tuple[None, None]:
+        try:
+            self.feed(html)
+            self.close()
+        except AssertionError:  # the tokeniser gives a page up this way
+            return None, None
+        self._end_text()
+        while self._open:
+            self._end_element()
+        return self.nodes, self.pieces
+
+
+def html_outline(pages: DataFrame, tags: list[str], html: str = "html") -> DataFrame:
+    """Replace the page text by `nodes` and `pieces`. One pass, no shuffle; unreadable pages give null."""
+    wanted = frozenset(tags)
+    kept = [c for c in pages.columns if c != html]
+    schema = T.StructType([
+        *[pages.schema[c] for c in kept],
+        T.StructField("nodes", T.ArrayType(NODE)),
+        T.StructField("pieces", T.ArrayType(T.StringType())),
+    ])
+
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, OUTPUT_ROWS):
+                batch = whole.slice(start, OUTPUT_ROWS)
+                outlines = [
+                    (None, None) if page is None else _Outline(wanted).outline(page)
+                    for page in batch.column(html).to_pylist()
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c) for c in kept]
+                    + [
+                        pa.array([nodes for nodes, _ in outlines], type=_NODE_ARROW),
+                        pa.array([pieces for _, pieces in outlines], type=pa.list_(pa.string())),
+                    ],
+                    names=[*kept, "nodes", "pieces"],
+                )
+
+    return pages.select(*kept, html).mapInArrow(tokenise, schema)
+
+
+def first(nodes: Column) -> Column:
+    return F.get(nodes, F.lit(0))
+
+
+def inside(nodes: Column, node: Column) -> Column:
+    """The outline of one element: its wanted descendants."""
+    return F.slice(nodes, node["at"] + 1, node["inner"])
+
+
+def text_of(pieces: Column, node: Column, separator: str = "") -> Column:
+    """The text of an element; null for a missing element."""
+    return F.array_join(F.slice(pieces, node["first_text"], node["texts"]), separator)
+
+
+def with_tag(nodes: Column, tag: str) -> Column:
+    return F.filter(nodes, lambda n: n["tag"] == tag)
+
+
+def has_class(node: Column, name: str) -> Column:
+    """`name` is one of the classes, or the whole class attribute."""
+    return F.concat(F.lit(" "), node["classes"], F.lit(" ")).contains(f" {name} ") if " " not in name else (
+        node["classes"] == name
+    )
+
+
+def with_class(nodes: Column, tag: str, name: str) -> Column:
+    return F.filter(nodes, lambda n: (n["tag"] == tag) & has_class(n, name))
+
+
+def with_class_like(nodes: Column, tag: str, pattern: str) -> Column:
+    return F.filter(nodes, lambda n: (n["tag"] == tag) & n["classes"].rlike(pattern))
