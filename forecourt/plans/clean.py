@@ -12,7 +12,7 @@ from forecourt.functions.text import (
     normalised_name,
     transmission_class,
 )
-from forecourt.operators.columns import age
+from forecourt.operators.columns import age, evaluate_once
 from forecourt.operators.distinct import distinct_rows
 from forecourt.operators.filters import block, drop_empty_rows, exclude_pair, in_range, require
 from forecourt.params import CleanRules
@@ -46,7 +46,7 @@ def clean_listings(merged: DataFrame, rules: CleanRules = CleanRules()) -> DataF
     spellings both stay, unless `rules.dedup_after` asks for a second distinct.
     """
     listings = plausible(typed(drop_empty_rows(distinct_rows(merged))), rules)
-    named = listings.withColumns({
+    named = evaluate_once(listings, {
         "brand": canonical_name(F.col("brand"), rules.brand_prefixes),
         "model": normalise_text(F.col("model")),
         # Classes carry their final spelling from the start.
@@ -57,9 +57,7 @@ def clean_listings(merged: DataFrame, rules: CleanRules = CleanRules()) -> DataF
     if rules.excluded_pair:
         # The brand is compared as the prefix table spells it, before the next step.
         complete = exclude_pair(complete, "brand", "model", rules.excluded_pair)
-    final = complete.withColumns({
-        "brand": normalise_text(F.col("brand")),
-        "age": age(F.col("year"), rules.as_of_year),
-    })
-    kept = block(final, TEXT_COLUMNS, rules.block_list).select(*CLEAN)
+    final = evaluate_once(complete, {"brand": normalise_text(F.col("brand"))})
+    aged = block(final, TEXT_COLUMNS, rules.block_list).withColumn("age", age(F.col("year"), rules.as_of_year))
+    kept = aged.select(*CLEAN)
     return distinct_rows(kept) if rules.dedup_after else kept
