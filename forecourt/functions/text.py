@@ -92,7 +92,8 @@ def drop_hyphens(text: Column) -> Column:
 def title_case(text: Column) -> Column:
     """A capital after every character that is not a letter, small letters elsewhere."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(_RUNS), F.lit(1))
-    return F.array_join(F.transform(runs, F.initcap), "")
+    one_run = ~text.rlike(f"[^{_CASED}]")
+    return F.when(one_run, F.initcap(text)).otherwise(F.array_join(F.transform(runs, F.initcap), ""))
 
 
 def normalise_text(text: Column) -> Column:
@@ -110,16 +111,16 @@ def canonical_name(text: Column, prefixes: dict[str, str]) -> Column:
     trimmed = trim_all(text)
     key = drop_hyphens_spaces(strip_accents(F.lower(trimmed)))
     names = F.create_map(*[F.lit(x) for pair in prefixes.items() for x in pair])
-    found = F.regexp_extract(key, "^(" + "|".join(re.escape(p) for p in prefixes) + ")", 1)
-    return F.coalesce(F.try_element_at(names, found), title_case(trimmed))
+    start = F.regexp_extract(key, "^(" + "|".join(re.escape(p) for p in prefixes) + ")", 1)
+    return F.coalesce(F.try_element_at(names, start), title_case(trimmed))
 
 
 def keyword_class(text: Column, rules) -> Column:
     """The class of the first rule one of whose parts occurs in the text, else null."""
     chosen = None
     for parts, name in rules:
-        hit = F.lit(False)
-        for part in parts:
+        hit = text.contains(parts[0])
+        for part in parts[1:]:
             hit = hit | text.contains(part)
         chosen = F.when(hit, F.lit(name)) if chosen is None else chosen.when(hit, F.lit(name))
     return chosen

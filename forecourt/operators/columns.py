@@ -12,14 +12,15 @@ def evaluate_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """`withColumns` for costly expressions that later filters look at.
 
     Filters move below a plain projection and take a copy of each expression along. They cannot
-    move below a generator, so here every expression is worked out once per row.
+    move below the generator that hands the finished values on, so every expression is worked
+    out once per row.
     """
-    made = df.select(
-        *[F.col(c).alias(f"_old_{c}") if c in columns else F.col(c) for c in df.columns],
-        F.inline(F.array(F.struct(*[value.alias(f"_new_{name}") for name, value in columns.items()]))),
-    )
+    made = df.withColumns({f"_made_{name}": value for name, value in columns.items()})
+    handed_on = F.inline(F.array(F.struct(*[F.col(f"_made_{name}").alias(f"_out_{name}") for name in columns])))
+    kept = [c for c in df.columns if c not in columns]
+    rows = made.select(*kept, handed_on)
     order = [*df.columns, *[c for c in columns if c not in df.columns]]
-    return made.select(*[F.col(f"_new_{c}").alias(c) if c in columns else F.col(c) for c in order])
+    return rows.select(*[F.col(f"_out_{c}").alias(c) if c in columns else F.col(c) for c in order])
 
 
 def with_source(df: DataFrame, name: str) -> DataFrame:

@@ -19,19 +19,19 @@ from forecourt.params import CleanRules
 from forecourt.schema import CLEAN, NUMERIC_COLUMNS, TEXT_COLUMNS
 
 
-def typed(df: DataFrame) -> DataFrame:
-    """Numbers out of the raw texts; a text that is no number becomes null."""
-    return df.withColumns({c: to_number(F.col(c)) for c in NUMERIC_COLUMNS})
+def with_numbers(df: DataFrame) -> DataFrame:
+    """Add the numbers of the raw texts as `<column>_num`; a text that is no number gives null."""
+    return evaluate_once(df, {f"{c}_num": to_number(F.col(c)) for c in NUMERIC_COLUMNS})
 
 
 def plausible(df: DataFrame, rules: CleanRules) -> DataFrame:
     """Rows with all numbers in range. Mileage has no lower bound."""
     return df.filter(
-        in_range(F.col("price"), rules.price)
-        & in_range(F.col("year"), rules.year)
-        & (F.col("mileage_km") <= rules.max_mileage)
-        & in_range(F.col("volume_l"), rules.volume)
-        & in_range(F.col("power_kw"), rules.power)
+        in_range(F.col("price_num"), rules.price)
+        & in_range(F.col("year_num"), rules.year)
+        & (F.col("mileage_km_num") <= rules.max_mileage)
+        & in_range(F.col("volume_l_num"), rules.volume)
+        & in_range(F.col("power_kw_num"), rules.power)
     )
 
 
@@ -45,7 +45,9 @@ def clean_listings(merged: DataFrame, rules: CleanRules = CleanRules()) -> DataF
     The distinct sees raw texts and the source, so equal cars from two sources or in two
     spellings both stay, unless `rules.dedup_after` asks for a second distinct.
     """
-    listings = plausible(typed(drop_empty_rows(distinct_rows(merged))), rules)
+    # The ranges depend on the raw row alone, so rows outside them need not reach the shuffle.
+    distinct = distinct_rows(plausible(with_numbers(drop_empty_rows(merged)), rules))
+    listings = distinct.select(*TEXT_COLUMNS, *[F.col(f"{c}_num").alias(c) for c in NUMERIC_COLUMNS])
     named = evaluate_once(listings, {
         "brand": canonical_name(F.col("brand"), rules.brand_prefixes),
         "model": normalise_text(F.col("model")),

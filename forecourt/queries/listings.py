@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forecourt.functions.fields import title_brand, title_model, words
+from forecourt.functions.fields import words
 from forecourt.functions.numbers import litres, strict_number, to_number
 from forecourt.operators import distinct, filters
 from forecourt.operators.append import append_new
-from forecourt.operators.columns import age, with_source
+from forecourt.operators.columns import age, evaluate_once, with_source
 from forecourt.operators.lookups import preview
 from forecourt.operators.page_budget import pages_taken
 from forecourt.params import CleanRules
@@ -16,7 +16,6 @@ from forecourt.plans.build import build_clean, counted, merge_sources
 from forecourt.plans.clean import clean_listings
 from forecourt.queries import sql
 from forecourt.queries.registry import query, table
-from forecourt.schema import MERGED, RAW_A, RAW_B
 from forecourt.sources.selection import select_listings, select_or_drop_brand, select_or_drop_range
 from forecourt.sources.tables import null_tokens_to_null, read_csv, write_csv
 from forecourt.session import scratch_path
@@ -55,7 +54,7 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_size") / 10).cast("string").alias("volume_l"),
         F.year("l_shipdate").cast("string").alias("year"),
         F.col("o_custkey").cast("string").alias("mileage_km"),
-        F.format_string("%.2f", "l_extendedprice").alias("price"),
+        F.col("l_extendedprice").cast("string").alias("price"),
         F.col("o_orderpriority").alias("fuel"),
         F.concat("l_returnflag", "l_linestatus").alias("transmission"),
         F.col("l_quantity").cast("int").cast("string").alias("power_kw"),
@@ -66,44 +65,51 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 SALES_SQL = """
 SELECT p_type AS brand, p_name AS model, CAST(p_size / 10 AS VARCHAR) AS volume_l,
        CAST(year(l_shipdate) AS VARCHAR) AS year, CAST(o_custkey AS VARCHAR) AS mileage_km,
-       printf('%.2f', l_extendedprice) AS price, o_orderpriority AS fuel,
+       CAST(l_extendedprice AS VARCHAR) AS price, o_orderpriority AS fuel,
        l_returnflag || l_linestatus AS transmission, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS power_kw,
        o_orderstatus AS source
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
 """
 
 
+def _with_words(df: DataFrame) -> DataFrame:
+    split = evaluate_once(df, {"w": words(F.col("text"))})
+    return evaluate_once(split, {
+        "n_words": F.size("w"),
+        "n_distinct": F.size(F.array_distinct("w")),
+        "n_lines": F.size(F.split("text", "\n")),
+        "brand": F.get("w", F.lit(0)),
+        "model": F.get("w", F.lit(1)),
+    })
+
+
 def texts_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as raw listings of source A."""
-    text = F.col("text")
-    split = table(spark, sf_dir, "documents").withColumn("w", words(text))
-    return split.select(
-        F.get("w", F.lit(0)).alias("brand"),
-        F.get("w", F.lit(1)).alias("model"),
-        F.bround(F.col("n_chars") / F.size("w"), 1).cast("string").alias("volume_l"),
-        (2026 - F.size(F.split(text, "\n"))).cast("string").alias("year"),
-        F.size("w").cast("string").alias("mileage_km"),
+    return _with_words(table(spark, sf_dir, "documents")).select(
+        "brand",
+        "model",
+        F.bround(F.col("n_chars") / F.col("n_words"), 1).cast("string").alias("volume_l"),
+        (2026 - F.col("n_lines")).cast("string").alias("year"),
+        F.col("n_words").cast("string").alias("mileage_km"),
         F.col("n_chars").cast("string").alias("price"),
-        text.alias("fuel"),
+        F.col("text").alias("fuel"),
         F.col("lang").alias("transmission"),
-        F.size(F.array_distinct("w")).cast("string").alias("power_kw"),
+        F.col("n_distinct").cast("string").alias("power_kw"),
     )
 
 
 def texts_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversation turns as raw listings of source B."""
-    text = F.col("text")
-    split = table(spark, sf_dir, "conversations").withColumn("w", words(text))
-    return split.select(
-        F.get("w", F.lit(0)).alias("brand"),
-        F.get("w", F.lit(1)).alias("model"),
-        F.floor(1000 * F.length(text) / F.size("w")).cast("string").alias("volume_cm3"),
+    return _with_words(table(spark, sf_dir, "conversations")).select(
+        "brand",
+        "model",
+        F.floor(1000 * F.length("text") / F.col("n_words")).cast("string").alias("volume_cm3"),
         (2026 - F.col("turn")).cast("string").alias("year"),
         F.col("conv_id").cast("string").alias("mileage_km"),
-        F.length(text).cast("string").alias("price"),
-        text.alias("fuel"),
+        F.length("text").cast("string").alias("price"),
+        F.col("text").alias("fuel"),
         F.col("role").alias("transmission"),
-        F.size(F.array_distinct("w")).cast("string").alias("power_kw"),
+        F.col("n_distinct").cast("string").alias("power_kw"),
     )
 
 
@@ -210,7 +216,7 @@ def step_counts(spark, sf_dir):
 def convert_units(spark, sf_dir):
     """Strict number out of text, divided by 1000, one decimal, halves to even."""
     return table(spark, sf_dir, "orders").select(
-        "o_orderkey", litres(strict_number(F.format_string("%.2f", "o_totalprice"))).alias("thousands")
+        "o_orderkey", litres(strict_number(F.col("o_totalprice").cast("string"))).alias("thousands")
     )
 
 
