@@ -408,9 +408,9 @@ def page_budget(spark, sf_dir):
     return pages_taken(first_seen, min_rows=1500, max_pages=2000)
 
 
-@query("SELECT * FROM part WHERE p_brand = 'Brand#12' AND p_retailprice BETWEEN 950 AND 2000")
+@query("SELECT * FROM part WHERE p_brand = 'Brand#12' AND p_retailprice BETWEEN 905 AND 2000")
 def select_brand_and_range(spark, sf_dir):
-    return select_listings(table(spark, sf_dir, "part"), "Brand#12", 950, 2000, "p_brand", "p_retailprice")
+    return select_listings(table(spark, sf_dir, "part"), "Brand#12", 905, 2000, "p_brand", "p_retailprice")
 
 
 _FITS = "EXISTS (SELECT 1 FROM part WHERE p_brand = '{0}' AND p_retailprice BETWEEN {1} AND {2})"
@@ -419,7 +419,7 @@ _FITS = "EXISTS (SELECT 1 FROM part WHERE p_brand = '{0}' AND p_retailprice BETW
 def _fallback(spark, sf_dir, select):
     """The same request for a brand that exists, one that does not, and a range without hits."""
     part = table(spark, sf_dir, "part")
-    cases = [("hit", "Brand#12", 950, 2000), ("no brand", "Brand#99", 950, 2000), ("no price", "Brand#12", 5, 6)]
+    cases = [("hit", "Brand#12", 905, 2000), ("no brand", "Brand#99", 905, 2000), ("no price", "Brand#12", 5, 6)]
     found = [
         select(part, brand, low, high, "p_brand", "p_retailprice").withColumn("request", F.lit(name))
         for name, brand, low, high in cases
@@ -431,7 +431,7 @@ def _fallback(spark, sf_dir, select):
     f"SELECT *, '{name}' AS request FROM part WHERE p_retailprice BETWEEN {low} AND {high} "
     f"AND (p_brand = '{brand}' OR NOT {_FITS.format(brand, low, high)})"
     for name, brand, low, high in (
-        ("hit", "Brand#12", 950, 2000), ("no brand", "Brand#99", 950, 2000), ("no price", "Brand#12", 5, 6))
+        ("hit", "Brand#12", 905, 2000), ("no brand", "Brand#99", 905, 2000), ("no price", "Brand#12", 5, 6))
 ))
 def select_dropping_brand(spark, sf_dir):
     """Without a hit, the price range alone decides."""
@@ -442,7 +442,7 @@ def select_dropping_brand(spark, sf_dir):
     f"SELECT *, '{name}' AS request FROM part WHERE p_brand = '{brand}' "
     f"AND (p_retailprice BETWEEN {low} AND {high} OR NOT {_FITS.format(brand, low, high)})"
     for name, brand, low, high in (
-        ("hit", "Brand#12", 950, 2000), ("no brand", "Brand#99", 950, 2000), ("no price", "Brand#12", 5, 6))
+        ("hit", "Brand#12", 905, 2000), ("no brand", "Brand#99", 905, 2000), ("no price", "Brand#12", 5, 6))
 ))
 def select_dropping_range(spark, sf_dir):
     """Without a hit, the brand alone decides."""
