@@ -10,6 +10,7 @@ from forecourt.operators.distinct import first_by_key
 from forecourt.operators.page_budget import pages_taken
 from forecourt.params import SITE_A, SITE_B, Budget, Site
 from forecourt.schema import RAW_A, RAW_B
+from forecourt.session import shared_dir
 from forecourt.sources.detail_pages import accepted, extract_a, extract_b
 from forecourt.sources.listing_links import page_links
 
@@ -33,9 +34,14 @@ def collect(
     result_pages: DataFrame, detail_pages: DataFrame, budget: Budget, site: Site, keys: list[str],
     extract: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """result_pages(page, html) and detail_pages(url, html) to distinct raw listings within the budget."""
+    """result_pages(page, html) and detail_pages(url, html) to distinct raw listings within the budget.
+
+    The listings are used twice, so they are checkpointed in the shared folder: no page is parsed
+    again, not even after the loss of an executor.
+    """
+    shared_dir(result_pages.sparkSession)
     in_reach = result_pages.filter(F.col("page").between(1, budget.max_pages))
-    seen = first_seen(in_reach, accepted(extract(detail_pages)), keys, site)
+    seen = first_seen(in_reach, accepted(extract(detail_pages)), keys, site).checkpoint()
     taken = pages_taken(seen, budget.min_rows, budget.max_pages).select("page")
     return seen.join(taken, "page", "left_semi").select(*keys)
 

@@ -17,6 +17,7 @@ from forecourt.functions.fields import (
     url_model,
 )
 from forecourt.functions.numbers import digits_only
+from forecourt.operators.columns import evaluate_once
 from forecourt.params import DetailA, DetailB
 from forecourt.schema import NOT_FOUND, RAW_A, RAW_B
 from forecourt.sources.html_outline import (
@@ -47,7 +48,7 @@ def labelled_items(
 
 
 def _reasons(checks: list[tuple[str, Column]]) -> Column:
-    chosen = F.when(F.col("nodes").isNull(), F.lit("unreadable page"))
+    chosen = F.when(~F.col("readable"), F.lit("unreadable page"))
     for reason, missing in checks:
         chosen = chosen.when(missing, F.lit(reason))
     return chosen
@@ -71,27 +72,23 @@ def extract_a(pages: DataFrame, page: DetailA = DetailA()) -> DataFrame:
 
         return first(F.filter(items, fits))["value"]
 
-    texts = outline.select(
-        "url",
-        "nodes",
-        text_of(pieces, heading).alias("title"),
-        text_of(pieces, price).alias("price_text"),
-        labelled_items(nodes, pieces).alias("items"),
-    )
-    fields = texts.select(
-        "url",
-        "nodes",
-        "title",
-        title_brand(F.col("title")).alias("brand"),
-        title_model(F.col("title")).alias("model"),
-        engine_litres(value_of(page.engine)).alias("volume_l"),
-        value_of(page.year).alias("year"),
-        digits_only(value_of(page.mileage)).alias("mileage_km"),
-        digits_only(F.col("price_text")).alias("price"),
-        value_of(page.fuel).alias("fuel"),
-        before_slash(value_of(page.transmission)).alias("transmission"),
-        power_kw(value_of(page.power, toggled=False)).alias("power_kw"),
-    )
+    texts = evaluate_once(outline, {
+        "readable": nodes.isNotNull(),
+        "title": text_of(pieces, heading),
+        "price_text": text_of(pieces, price),
+        "items": labelled_items(nodes, pieces),
+    })
+    fields = evaluate_once(texts.drop("nodes", "pieces"), {
+        "brand": title_brand(F.col("title")),
+        "model": title_model(F.col("title")),
+        "volume_l": engine_litres(value_of(page.engine)),
+        "year": value_of(page.year),
+        "mileage_km": digits_only(value_of(page.mileage)),
+        "price": digits_only(F.col("price_text")),
+        "fuel": value_of(page.fuel),
+        "transmission": before_slash(value_of(page.transmission)),
+        "power_kw": power_kw(value_of(page.power, toggled=False)),
+    })
     checks = [("no title", F.col("title").isNull())]
     checks += [
         (f"no {name}", _missing(name))
@@ -116,32 +113,29 @@ def extract_b(pages: DataFrame, page: DetailB = DetailB()) -> DataFrame:
         F.transform(with_class_like(nodes, "li", page.item_pattern), entry),
         lambda i: i["label"].isNotNull() & i["value"].isNotNull(),
     )
-    texts = outline.select(
-        "url",
-        "nodes",
-        text_of(pieces, first(with_class(nodes, "span", page.subtitle_class)), " ").alias("subtitle"),
-        text_of(pieces, first(with_class(nodes, "div", page.price_class))).alias("price_1"),
-        text_of(pieces, first(with_class(nodes, "span", page.other_price_class))).alias("price_2"),
-        complete.alias("items"),
-    )
+    texts = evaluate_once(outline, {
+        "readable": nodes.isNotNull(),
+        "subtitle": text_of(pieces, first(with_class(nodes, "span", page.subtitle_class)), " "),
+        "price_1": text_of(pieces, first(with_class(nodes, "div", page.price_class))),
+        "price_2": text_of(pieces, first(with_class(nodes, "span", page.other_price_class))),
+        "items": complete,
+    })
 
     def last_value(label: str, usable=lambda value: F.lit(True)) -> Column:
         values = F.filter(items, lambda i: (i["label"] == label) & usable(i["value"]))
         return F.try_element_at(values, F.lit(-1))["value"]
 
-    fields = texts.select(
-        "url",
-        "nodes",
-        url_brand(F.col("url")).alias("brand"),
-        url_model(F.col("url")).alias("model"),
+    fields = evaluate_once(texts.drop("nodes", "pieces"), {
+        "brand": url_brand(F.col("url")),
+        "model": url_model(F.col("url")),
         # The last engine entry decides, also when it cannot be read.
-        engine_cm3(last_value(page.engine)).alias("volume_cm3"),
-        subtitle_fields(F.col("subtitle"), (page.used, page.new)).alias("sub"),
-        chosen_price(F.col("price_1"), F.col("price_2")).alias("price"),
-        last_value(page.fuel).alias("fuel"),
-        last_value(page.transmission).alias("transmission"),
-        digits_only(last_value(page.power, lambda v: digits_only(v) != "")).alias("power_kw"),
-    ).withColumns({"year": F.col("sub.year"), "mileage_km": F.col("sub.mileage_km")})
+        "volume_cm3": engine_cm3(last_value(page.engine)),
+        "sub": subtitle_fields(F.col("subtitle"), (page.used, page.new)),
+        "price": chosen_price(F.col("price_1"), F.col("price_2")),
+        "fuel": last_value(page.fuel),
+        "transmission": last_value(page.transmission),
+        "power_kw": digits_only(last_value(page.power, lambda v: digits_only(v) != "")),
+    }).withColumns({"year": F.col("sub.year"), "mileage_km": F.col("sub.mileage_km")})
     checks = [(f"no {name}", _missing(name)) for name in RAW_B]
     return fields.select("url", *RAW_B, _reasons(checks).alias("reject_reason"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from forecourt.functions.fields import absolute_url
 from forecourt.functions.text import trim_all
+from forecourt.operators.columns import evaluate_once
 
 # Text that looks like markup but is none.
 _HIDDEN = r"(?is)<!--.*?-->|<script(?=[\s/>]).*?</script\s*>|<style(?=[\s/>]).*?</style\s*>"
@@ -22,22 +23,28 @@ def anchors(html: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(html, _HIDDEN, " "), F.lit(_ANCHOR), F.lit(1))
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute in the attribute text of a tag; the last one counts, null if absent."""
+def attributes(tag: Column) -> Column:
+    """array<struct(n, v)>: names and unquoted values in the attribute text of a tag."""
     names = F.regexp_extract_all(tag, F.lit(_NAME), F.lit(1))
     values = F.regexp_extract_all(tag, F.lit(_VALUE), F.lit(1))
-    pairs = F.zip_with(names, values, lambda n, v: F.struct(F.lower(n).alias("n"), v.alias("v")))
+    return F.zip_with(
+        names,
+        values,
+        lambda n, v: F.struct(
+            F.lower(n).alias("n"), F.regexp_replace(v, r"""^(["'])([\s\S]*)\1$""", "$2").alias("v")
+        ),
+    )
+
+
+def attribute(pairs: Column, name: str) -> Column:
+    """Value of an attribute; the last one counts, null if absent."""
     value = F.try_element_at(F.filter(pairs, lambda p: p["n"] == name), F.lit(-1))["v"]
-    value = F.regexp_replace(value, r"""^(["'])([\s\S]*)\1$""", "$2")
     for reference, char in _REFERENCES.items():
         value = F.replace(value, F.lit(reference), F.lit(char))
     return value
 
 
-def _has_link_class(tag: Column, link_class: str | None) -> Column:
-    if link_class is None:
-        return F.lit(True)
-    classes = F.regexp_replace(trim_all(attribute(tag, "class")), r"\s+", " ")
+def _has_link_class(classes: Column, link_class: str) -> Column:
     if " " in link_class:
         return classes == link_class
     return F.array_contains(F.split(classes, " "), link_class)
@@ -52,11 +59,15 @@ def page_links(pages: DataFrame, base: str, link_class: str | None = None, html:
     if link_class is not None:
         pages = pages.filter(F.col(html).contains(link_class.split()[0]))
     tags = pages.select(*others, F.posexplode(anchors(F.col(html))).alias("at", "tag"))
-    found = tags.filter(_has_link_class(F.col("tag"), link_class)).select(
-        *others, (F.col("at") + 1).alias("position"), attribute(F.col("tag"), "href").alias("href")
-    )
+    named = evaluate_once(tags, {"tag": attributes(F.col("tag"))})
+    found = evaluate_once(named, {
+        "href": attribute(F.col("tag"), "href"),
+        "classes": F.regexp_replace(trim_all(attribute(F.col("tag"), "class")), r"\s+", " "),
+    })
+    if link_class is not None:
+        found = found.filter(_has_link_class(F.col("classes"), link_class))
     return found.filter(F.col("href") != "").select(
-        *others, "position", absolute_url(F.col("href"), base).alias("link")
+        *others, (F.col("at") + 1).alias("position"), absolute_url(F.col("href"), base).alias("link")
     )
 
 
