@@ -18,6 +18,7 @@ FOLDED_BLOCKS = ((0x80, 0x52F), (0x1D00, 0x24FF), (0xFB00, 0xFB06), (0xFF01, 0xF
 
 _CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 _RUNS = f"([{_CASED}]+|[^{_CASED}]+)"
+_MARK = "\ue000"
 
 
 def _folded(text: str) -> str:
@@ -47,6 +48,18 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     return "".join([*single, *marks]), "".join(single.values()), longer
 
 
+def _covering_ranges(chars: str, gap: int = 24) -> str:
+    """A character class of few ranges that covers all the characters, and some between them."""
+    codes = sorted(map(ord, chars))
+    ranges = [[codes[0], codes[0]]]
+    for code in codes[1:]:
+        if code - ranges[-1][1] <= gap:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\u{low:04x}-\\u{high:04x}" for low, high in ranges) + "]"
+
+
 def _expand(text: Column) -> Column:
     """Replace the characters whose folded form has several characters."""
     longer = sorted(_fold_tables()[2].items(), key=lambda item: -len(item[1]))
@@ -61,7 +74,8 @@ def _expand(text: Column) -> Column:
         return F.when(piece.rlike(members), F.concat(*nth)).otherwise(piece)
 
     pieces = F.regexp_extract_all(text, F.lit(f"({members}|[^{re.escape(chars)}]+)"), F.lit(1))
-    return F.when(text.rlike(members), F.array_join(F.transform(pieces, spell), "")).otherwise(text)
+    # Most texts are through after a look for a few ranges.
+    return F.when(text.rlike(_covering_ranges(chars)), F.array_join(F.transform(pieces, spell), "")).otherwise(text)
 
 
 def strip_accents(text: Column) -> Column:
@@ -82,18 +96,23 @@ def trim_all(text: Column) -> Column:
 
 
 def drop_hyphens_spaces(text: Column) -> Column:
-    return F.translate(text, "- ", "")
+    return F.replace(F.replace(text, F.lit("-"), F.lit("")), F.lit(" "), F.lit(""))
 
 
 def drop_hyphens(text: Column) -> Column:
-    return F.translate(text, "-", "")
+    return F.replace(text, F.lit("-"), F.lit(""))
 
 
 def title_case(text: Column) -> Column:
-    """A capital after every character that is not a letter, small letters elsewhere."""
+    """A capital after every character that is not a letter, small letters elsewhere.
+
+    `initcap` sees word starts after spaces only, so a mark with a space goes in front of the
+    other word starts and comes out afterwards. Texts that hold the mark themselves go run by run.
+    """
+    marked = F.regexp_replace(text, f"([^{_CASED} ])(?=[{_CASED}])", f"$1{_MARK} ")
+    fast = F.replace(F.initcap(marked), F.lit(f"{_MARK} "), F.lit(""))
     runs = F.regexp_extract_all(F.lower(text), F.lit(_RUNS), F.lit(1))
-    one_run = ~text.rlike(f"[^{_CASED}]")
-    return F.when(one_run, F.initcap(text)).otherwise(F.array_join(F.transform(runs, F.initcap), ""))
+    return F.when(text.contains(_MARK), F.array_join(F.transform(runs, F.initcap), "")).otherwise(fast)
 
 
 def normalise_text(text: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -34,8 +32,13 @@ def union_distinct(first: DataFrame, second: DataFrame) -> DataFrame:
 def new_rows(batch: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct rows of the batch whose key the existing table lacks; nulls are equal.
 
-    Both sides have each key once, so no key can be hot in the join.
+    The key is one struct, so the distinct and the join share a single shuffle per side. Copies
+    collapse before it: no key can be hot in the join.
     """
-    known = existing.select(*[F.col(k).alias(f"_known_{k}") for k in keys]).distinct()
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in keys])
-    return batch.dropDuplicates(keys).join(known, same, "left_anti")
+    key = F.struct(*keys).alias("_key")
+    others = [c for c in batch.columns if c not in keys]
+    arriving = batch.select(key, *others).dropDuplicates(["_key"])
+    known = existing.select(key).distinct()
+    return arriving.join(known, "_key", "left_anti").select(
+        *[F.col("_key")[c].alias(c) if c in keys else F.col(c) for c in batch.columns]
+    )

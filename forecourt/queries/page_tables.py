@@ -33,9 +33,10 @@ def distinct_links_of_pages(spark, sf_dir):
 
 
 def _plain(x: str) -> str:
-    entities = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&amp;": "&"}
+    # A reference may lack its semicolon where the text is cut.
+    entities = {"&lt": "<", "&gt": ">", "&quot": '"', "&amp": "&"}
     for name, char in entities.items():
-        x = f"replace({x}, '{name}', '{char}')"
+        x = f"regexp_replace({x}, '{name};?', '{char}', 'g')"
     return sql.trim(x)
 
 
