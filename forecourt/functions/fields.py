@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from forecourt.functions.numbers import digits_only
-from forecourt.functions.text import SPACES, title_case, trim_all
+from forecourt.functions.text import SPACE_RANGES, title_case, trim_all
 
 
 def absent_if_empty(text: Column) -> Column:
@@ -30,21 +30,26 @@ def engine_litres(text: Column) -> Column:
 def engine_cm3(text: Column) -> Column:
     """Digit groups in front of `ccm`, joined."""
     found = first_group(F.translate(text, "\xa0", " "), r"(\d[\d\s]*)(?=\s*ccm)")
-    return F.regexp_replace(found, f"[{SPACES}]+", "").try_cast("bigint").cast("string")
+    return F.regexp_replace(found, f"[{SPACE_RANGES}]+", "").try_cast("bigint").cast("string")
 
 
 def words(text: Column) -> Column:
-    return F.split(trim_all(text), f"[{SPACES}]+")
+    return F.split(trim_all(text), f"[{SPACE_RANGES}]+")
+
+
+def _nth_word(text: Column, n: int) -> Column:
+    space, word = f"[{SPACE_RANGES}]", f"[^{SPACE_RANGES}]"
+    return absent_if_empty(F.regexp_extract(text, f"^{space}*+(?:{word}++{space}++){{{n}}}({word}++)", 1))
 
 
 def title_brand(title: Column) -> Column:
-    tokens = words(title)
-    return F.when(F.size(tokens) < 2, title).otherwise(F.get(tokens, F.lit(0)))
+    """First word of a title, or the whole title if it has one word only."""
+    return F.when(_nth_word(title, 1).isNull(), title).otherwise(_nth_word(title, 0))
 
 
 def title_model(title: Column) -> Column:
     """Second word of a title; null if there is none."""
-    return F.get(words(title), F.lit(1))
+    return _nth_word(title, 1)
 
 
 def before_slash(text: Column) -> Column:
@@ -89,19 +94,24 @@ def subtitle_fields(text: Column, dropped: tuple[str, ...]) -> Column:
     mileage, but a part with a slash is looked at for it only after the year's part.
     """
     parts = _subtitle_parts(text, dropped)
-    years = F.transform(parts, _part_year)
-    year = F.get(F.filter(years, lambda y: y.isNotNull()), F.lit(0))
-    year_at = F.coalesce(F.array_position(F.transform(years, lambda y: y.isNotNull()), True), F.lit(0))
-    with_km = F.filter(
-        parts,
-        lambda part, at: F.lower(part).contains("km")
-        & (digits_only(part) != "")
-        & (~part.contains("/") | ((year_at > 0) & (at >= year_at))),
-    )
-    return F.struct(
-        year.cast("string").alias("year"),
-        digits_only(F.get(with_km, F.lit(0))).alias("mileage_km"),
-    )
+    dated = F.transform(parts, lambda part, at: F.struct(_part_year(part).alias("year"), at.alias("at")))
+    first_dated = F.get(F.filter(dated, lambda d: d["year"].isNotNull()), F.lit(0))
+
+    def fields(found: Column) -> Column:
+        with_km = F.filter(
+            found["parts"],
+            lambda part, at: F.lower(part).contains("km")
+            & part.rlike(r"\p{Nd}")
+            & (~part.contains("/") | F.coalesce(at > found["dated"]["at"], F.lit(False))),
+        )
+        return F.struct(
+            found["dated"]["year"].cast("string").alias("year"),
+            digits_only(F.get(with_km, F.lit(0))).alias("mileage_km"),
+        )
+
+    # Inside the lambda the parts and the year are finished values.
+    found = F.struct(parts.alias("parts"), first_dated.alias("dated"))
+    return F.get(F.transform(F.array(found), fields), F.lit(0))
 
 
 def price_digits(text: Column) -> Column:

@@ -12,6 +12,24 @@ from pyspark.sql import Column, functions as F, types as T
 # Every character that counts as white space, control separators included.
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
+
+def _ranges(chars: str, gap: int = 1) -> str:
+    """The inside of a character class that covers the characters with few ranges.
+
+    With a larger gap the ranges also cover some characters between them.
+    """
+    codes = sorted(map(ord, chars))
+    ranges = [[codes[0], codes[0]]]
+    for code in codes[1:]:
+        if code - ranges[-1][1] <= gap:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "".join(f"\\u{low:04x}-\\u{high:04x}" for low, high in ranges)
+
+
+SPACE_RANGES = _ranges(SPACES)
+
 # Blocks folded with native expressions: Latin, Greek, Cyrillic, their extensions, punctuation and
 # number forms, Latin ligatures, full-width forms.
 FOLDED_BLOCKS = ((0x80, 0x52F), (0x1D00, 0x24FF), (0xFB00, 0xFB06), (0xFF01, 0xFF5E))
@@ -48,18 +66,6 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     return "".join([*single, *marks]), "".join(single.values()), longer
 
 
-def _covering_ranges(chars: str, gap: int = 24) -> str:
-    """A character class of few ranges that covers all the characters, and some between them."""
-    codes = sorted(map(ord, chars))
-    ranges = [[codes[0], codes[0]]]
-    for code in codes[1:]:
-        if code - ranges[-1][1] <= gap:
-            ranges[-1][1] = code
-        else:
-            ranges.append([code, code])
-    return "[" + "".join(f"\\u{low:04x}-\\u{high:04x}" for low, high in ranges) + "]"
-
-
 def _expand(text: Column) -> Column:
     """Replace the characters whose folded form has several characters."""
     longer = sorted(_fold_tables()[2].items(), key=lambda item: -len(item[1]))
@@ -75,7 +81,7 @@ def _expand(text: Column) -> Column:
 
     pieces = F.regexp_extract_all(text, F.lit(f"({members}|[^{re.escape(chars)}]+)"), F.lit(1))
     # Most texts are through after a look for a few ranges.
-    return F.when(text.rlike(_covering_ranges(chars)), F.array_join(F.transform(pieces, spell), "")).otherwise(text)
+    return F.when(text.rlike(f"[{_ranges(chars, gap=24)}]"), F.array_join(F.transform(pieces, spell), "")).otherwise(text)
 
 
 def strip_accents(text: Column) -> Column:
