@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
+# The Arrow function travels with the job, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Every character that counts as white space, control separators included.
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 

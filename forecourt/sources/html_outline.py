@@ -54,6 +54,9 @@ class _Outline(HTMLParser):
         self._silent = 0
         self._kept = 0
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not needed
+
     def _end_text(self) -> None:
         piece = "".join(self._data).strip()
         self._data.clear()
