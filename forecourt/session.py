@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -26,16 +25,11 @@ def build_session(name: str = "forecourt", master: str | None = None, **settings
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, which a cluster must set.
-
-    Only a local session, where driver and executors are one machine, gets a folder of its own.
-    """
+    """The folder all executors share: `spark.checkpoint.dir`, else one below the warehouse."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        folder = tempfile.mkdtemp(prefix="forecourt-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder

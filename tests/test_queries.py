@@ -5,10 +5,10 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from forecourt.queries import QUERIES, SQL
 from tests.compare import connect, difference
 
 SF_DIR = contract.SMOKE_DIR
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
 # Fitted models: no SQL gives their rows.
 WITHOUT_SQL = {"train_and_score", "compare_models"}
 
@@ -24,6 +24,10 @@ def test_query_equals_sql(spark, name):
     assert difference(spark, connect(SF_DIR), QUERIES[name], SQL[name], SF_DIR) is None
 
 
+def test_contract_holds_all_queries():
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
