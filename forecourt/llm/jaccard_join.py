@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from forecourt.llm import arrays as A
+from forecourt.llm.bitmaps import bitmap, marks
 from forecourt.llm.components import connected_components, cut
 
 _U = np.uint64
@@ -196,22 +197,6 @@ def _cross_pairs(num: int, den: int):
     return run
 
 
-def _bitmap(classes: DataFrame) -> bytes:
-    """One bit for each remainder that the classes have: 2**BITMAP_BITS bits at any size."""
-    place = F.col("class").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    pages = classes.select(F.shiftright(place, 16).cast("int").alias("page"), place.bitwiseAND(F.lit(0xFFFF)).cast("int").alias("at"))
-
-    def page(found):
-        bits = np.zeros(1 << 16, bool)
-        bits[found.column("at").to_numpy()] = True
-        return pa.table({"page": found.column("page").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-    whole = bytearray((1 << BITMAP_BITS) // 8)
-    for row in pages.distinct().groupBy("page").applyInArrow(page, "page int, bits binary").toLocalIterator():
-        whole[row["page"] * 8192 : (row["page"] + 1) * 8192] = row["bits"]
-    return bytes(whole)
-
-
 def ngram_jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, block_bytes: int = 16 << 20) -> DataFrame:
     """Per document doc_id, n_shingles, component_id, of all pairs with den * common >= num * union.
 
@@ -290,10 +275,10 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int
         return pairs.join(one, "a").join(two, "b").filter(alike & near).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = _bitmap(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct())
+        wanted = bitmap(pairs.select("a").union(pairs.select("b")).distinct(), BITMAP_BITS)
 
         def fetch(batches):
-            bits = np.unpackbits(np.frombuffer(wanted, np.uint8)).astype(bool)
+            bits = marks(wanted)
             for piece in A.pieces(batches, "text", 2 << 20):
                 values, first = shingle_sets(A.column(piece, "text"), size)
                 whole = _classes(values, first)
