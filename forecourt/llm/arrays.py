@@ -11,8 +11,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 LONG = 48
+BATCH_ROWS = 500
 _U = np.uint64
 
 
@@ -24,6 +26,18 @@ class Words(NamedTuple):
     offsets: np.ndarray  # of each text, its first byte; one more entry closes the last text
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same table; from now on its session hands at most BATCH_ROWS rows to Python at once.
+
+    Texts are large values, and the usual 10,000 of them in one batch would fill the memory that an
+    executor has beside its heap, once for the batch and once for its copy in Python.
+    """
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def column(table: pa.Table | pa.RecordBatch, name: str) -> pa.Array:
     values = table.column(name)
     if isinstance(values, pa.ChunkedArray):

@@ -229,7 +229,7 @@ def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Data
     null or empty text has no tokens. Rows are independent of each other, so repeated rows give
     repeated results, and other columns are ignored. The vocabulary travels with the job.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = A.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         encoder = Encoder(Vocabulary(ranks), pattern)

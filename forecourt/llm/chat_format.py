@@ -102,7 +102,7 @@ def format_conversations(log: DataFrame) -> DataFrame:
     result is one row; the task holds that conversation's messages only.
     """
     order = ["conv_id", "seq", "kind", "role", "text"]
-    dealt = log.select(*order, "target").repartition("conv_id").sortWithinPartitions(*order)
+    dealt = A.small_batches(log).select(*order, "target").repartition("conv_id").sortWithinPartitions(*order)
 
     def run(batches):
         open_id, messages, some = None, None, False

@@ -132,13 +132,13 @@ def _tf_idf(words: list[list[int]], place: np.ndarray, weights: np.ndarray):
     return row, place[slot], value / norm[row]
 
 
-def latent_space(passages: DataFrame, weights: np.ndarray, rules: DecontaminationRules) -> np.ndarray:
-    """(slots, rank): the right singular vectors of the passages' TF-IDF matrix, 0 for other slots.
+def latent_space(passages: DataFrame, weights: np.ndarray, rules: DecontaminationRules) -> tuple[np.ndarray, np.ndarray]:
+    """(slots of the words, right singular vectors of the passages' TF-IDF matrix over these slots).
 
     The matrix is only ever multiplied, partition by partition; the driver holds matrices of at
     most 2**SLOT_BITS times `rank` numbers.
     """
-    n, slots = passages.count(), set()
+    n = passages.count()
 
     def used(batches):
         for batch in batches:
@@ -172,9 +172,7 @@ def latent_space(passages: DataFrame, weights: np.ndarray, rules: Decontaminatio
     small = basis.T @ _summed(passages, through(basis), len(slots), basis.shape[1])
     squares, turn = np.linalg.eigh((small + small.T) / 2)
     keep = squares > 1e-9 * max(squares.max(), 1e-300)
-    out = np.zeros((1 << SLOT_BITS, int(keep.sum())), np.float32)
-    out[slots] = (basis @ turn[:, keep])[:, ::-1]
-    return out
+    return slots, (basis @ turn[:, keep])[:, ::-1].astype(np.float32)
 
 
 def _blocks(passages: DataFrame, size: int) -> Iterator[list]:
@@ -202,13 +200,13 @@ def common_length(masks: dict[int, int], n: int, words: list[int]) -> int:
 class _Passages:
     """A block of passages, ready to meet documents."""
 
-    def __init__(self, rows: list, latent: np.ndarray, weights: np.ndarray):
+    def __init__(self, rows: list, slots_of: np.ndarray, latent: np.ndarray, weights: np.ndarray):
         self.items = [r["item_id"] for r in rows]
         self.words = [list(r["words"]) for r in rows]
         self.answers = [list(r["answer"] or ()) for r in rows]
         vectors = np.zeros((len(rows), latent.shape[1]), np.float32)
-        row, slot, value = _tf_idf(self.words, np.arange(1 << SLOT_BITS), weights)
-        np.add.at(vectors, row, latent[slot] * value[:, None].astype(np.float32))
+        row, place, value = _tf_idf(self.words, slots_of, weights)
+        np.add.at(vectors, row, latent[place] * value[:, None].astype(np.float32))
         self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         self.masks = []
         for words in self.words:
@@ -241,16 +239,12 @@ def _windows(found: A.Words, hashes: np.ndarray, known: np.ndarray, table: np.nd
     return vectors, text, np.arange(len(text)) - first[:-1][text]
 
 
-def _match(block: _Passages, latent: np.ndarray, weights: np.ndarray, members: bytes, rules: DecontaminationRules):
-    used = np.flatnonzero(np.abs(latent).sum(axis=1))
-    slots_of = np.full(len(latent), -1)
-    slots_of[used] = np.arange(len(used))
-    table = latent[used] * weights[used, None].astype(np.float32)
+def _match(block: _Passages, slots_of: np.ndarray, table: np.ndarray, members: bytes, rules: DecontaminationRules):
     step, transposed = rules.step, np.ascontiguousarray(block.vectors.T)
 
     def run(batches):
         known = marks(members)
-        for piece in A.pieces(batches, "text", 1 << 20):
+        for piece in A.pieces(batches, "text", 1 << 18):
             found = A.words(A.column(piece, "text"))
             hashes = A.word_hashes(found, lower=True)
             signed = hashes.view(np.int64)
@@ -301,13 +295,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: DecontaminationRule
     """
     kept = [c for c in docs.columns if c != "matches"]
     none = F.array().cast("array<struct<item_id:bigint,share:double>>").alias("matches")
-    rows = docs.select(*[F.col(c).cast("string") if c == "text" else F.col(c) for c in kept], none)
+    rows = A.small_batches(docs).select(*[F.col(c).cast("string") if c == "text" else F.col(c) for c in kept], none)
     passages = passages_of(benchmark.filter(F.col("item_id").isNotNull()), rules)
     members = bitmap(passages.select(F.explode("words").alias("word")), MEMBER_BITS)
     if not any(members):
         return rows
     weights = _weights(docs.select(F.col("text").cast("string").alias("text")), members)
-    latent = latent_space(passages, weights, rules)
+    slots, latent = latent_space(passages, weights, rules)
+    slots_of = np.full(1 << SLOT_BITS, -1, np.int32)
+    slots_of[slots] = np.arange(len(slots))
+    table = latent * weights[slots, None].astype(np.float32)
     for block in _blocks(passages, rules.block):
-        rows = rows.mapInArrow(_match(_Passages(block, latent, weights), latent, weights, members, rules), rows.schema)
+        ready = _Passages(block, slots_of, latent, weights)
+        rows = rows.mapInArrow(_match(ready, slots_of, table, members, rules), rows.schema)
     return rows

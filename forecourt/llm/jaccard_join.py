@@ -208,7 +208,7 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int
     are ignored. Sets are compared by 64-bit hashes of their shingles.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = A.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def identify(batches):
         for piece in A.pieces(batches, "text", 2 << 20):

@@ -147,7 +147,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, keep: tuple[str, ..
     independent, so repeated rows give repeated results.
     """
     kept = [c for c in keep if c not in ("lang_pred", "score", "rejected")]
-    given = docs.select(*kept, F.col("text").cast("string").alias("_read"))
+    given = A.small_batches(docs).select(*kept, F.col("text").cast("string").alias("_read"))
     fields = [given.schema[c] for c in kept]
     schema = type(given.schema)(fields).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     bits = (len(model.scores) - 1).bit_length() - 1

@@ -270,7 +270,7 @@ def detect_pii(docs: DataFrame, model: PiiModel, rules: PiiRules = PiiRules()) -
     joined by commas. `spans` holds those of the patterns and those that the field adds. Null and
     empty texts have none. Rows are independent, so repeated rows give repeated results.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = A.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_spans", "spans"]
 
     def run(batches):

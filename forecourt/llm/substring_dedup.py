@@ -105,7 +105,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, depth: int = 2, group_by
     The width of the sketch follows the bytes of the input, so its load is the same at every size.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = A.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = int(texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
     writers = max(math.ceil(total / group_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
     bits = max(16, math.ceil(math.log2(max(total, 2))))
