@@ -6,6 +6,8 @@ row at a time; words of over LONG bytes, which are rare, are hashed one by one.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from typing import NamedTuple
 
@@ -26,6 +28,16 @@ class Words(NamedTuple):
     offsets: np.ndarray  # of each text, its first byte; one more entry closes the last text
 
 
+def lean() -> None:
+    """Freed blocks of over 1 MB go back to the system at once.
+
+    Otherwise each worker keeps the most that any of its tasks ever held, also while it is idle.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has this call
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """The same table; from now on its session hands at most BATCH_ROWS rows to Python at once.
 
@@ -62,6 +74,7 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(batches, name: str, limit: int = 4 << 20):
     """The batches in slices of at most `limit` bytes of text, or one row."""
+    lean()
     for batch in batches:
         _, offsets = utf8(column(batch, name))
         low, n = 0, batch.num_rows
@@ -73,6 +86,7 @@ def pieces(batches, name: str, limit: int = 4 << 20):
 
 
 def words(texts: pa.Array) -> Words:
+    lean()
     data, offsets = utf8(texts)
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.zeros(len(data) + 1, bool)

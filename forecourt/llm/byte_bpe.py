@@ -18,7 +18,7 @@ from forecourt.llm import arrays as A
 
 NONE = np.int32(2**31 - 1)
 LONGEST_ROW = 512  # bytes; longer pieces are merged with a heap
-CACHE = 200_000
+CACHE = 100_000
 _U = np.uint64
 
 
@@ -229,19 +229,10 @@ def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Data
     null or empty text has no tokens. Rows are independent of each other, so repeated rows give
     repeated results, and other columns are ignored. The vocabulary travels with the job.
     """
-    texts = A.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
     def run(batches):
-        encoder = Encoder(Vocabulary(ranks), pattern)
-        for piece in A.pieces(batches, "text", 1 << 20):
-            ids, n = encoder.encode([t or "" for t in piece.column("text").to_pylist()])
-            raw, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(n)
-            packed = [raw[e - 4 * k : e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-            yield pa.record_batch(
-                [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "ids"]
-            )
+        yield from _encoded(batches, Encoder(Vocabulary(ranks), pattern))
 
-    return texts.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return _texts(docs).mapInArrow(run, ENCODED)
 
 
 def decode_ids(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -251,10 +242,45 @@ def decode_ids(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     def run(batches):
         vocabulary = Vocabulary(ranks)
         for batch in batches:
-            out = [
-                vocabulary.decode(np.frombuffer(x or b"", "<u4").astype(np.int64)).tobytes()
-                for x in batch.column("ids").to_pylist()
-            ]
-            yield pa.record_batch([*batch.columns, pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+            yield _with_decoded(batch, vocabulary)
+
+    return given.mapInArrow(run, DECODED)
+
+
+def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """`encode_texts`, then `decode_ids` of the packed ids, in one task with one copy of the vocabulary."""
+    texts = _texts(docs)
+
+    def run(batches):
+        vocabulary = Vocabulary(ranks)
+        for batch in _encoded(batches, Encoder(vocabulary, pattern)):
+            yield _with_decoded(batch, vocabulary)
+
+    return texts.mapInArrow(run, DECODED)
+
+
+ENCODED = "doc_id long, n_tokens long, ids binary"
+DECODED = f"{ENCODED}, decoded binary"
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return A.small_batches(docs).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    )
+
+
+def _encoded(batches, encoder: Encoder):
+    for piece in A.pieces(batches, "text", 1 << 19):
+        ids, n = encoder.encode([t or "" for t in piece.column("text").to_pylist()])
+        raw, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(n)
+        packed = [raw[e - 4 * k : e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+        yield pa.record_batch(
+            [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "ids"]
+        )
+
 
-    return given.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+def _with_decoded(batch: pa.RecordBatch, vocabulary: Vocabulary) -> pa.RecordBatch:
+    out = [
+        vocabulary.decode(np.frombuffer(x or b"", "<u4").astype(np.int64)).tobytes() for x in batch.column("ids").to_pylist()
+    ]
+    return pa.record_batch([*batch.columns, pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])

@@ -27,7 +27,7 @@ from forecourt.llm.components import connected_components, cut
 
 _U = np.uint64
 SKETCH_BITS = 512
-FLUSH = 1 << 20  # segments that a task holds before it sends them
+FLUSH = 1 << 19  # segments that a task holds before it sends them
 BITMAP_BITS = 24
 IDS = "doc_id long, n long, class long, sketch array<long>"
 SEGMENTS = "block int, payload binary"
@@ -154,6 +154,7 @@ def _met(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> p
 
 def _meet_least(found: pa.Table) -> pa.Table:
     """Of segments that several sets share: (1, key, set, 0) for each, and (0, 0, least set, set)."""
+    A.lean()
     pairs = np.concatenate([np.frombuffer(p, "<i8").reshape(2, -1) for p in found.column("payload").to_pylist()], axis=1)
     order = np.lexsort((pairs[1], pairs[0]))
     key, member = pairs[0][order], pairs[1][order]
@@ -197,7 +198,7 @@ def _cross_pairs(num: int, den: int):
     return run
 
 
-def ngram_jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, block_bytes: int = 16 << 20) -> DataFrame:
+def ngram_jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, block_bytes: int = 8 << 20) -> DataFrame:
     """Per document doc_id, n_shingles, component_id, of all pairs with den * common >= num * union.
 
     A set holds the distinct shingles of `size` words, A-Z in lower case; a text with fewer words is

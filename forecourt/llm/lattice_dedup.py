@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from forecourt.llm import arrays as A
 from forecourt.llm.components import Roots, connected_components, cut
 from forecourt.llm.e8 import nearest_points
 
@@ -96,6 +97,7 @@ FOUND = "kind int, a long, b long"
 
 def _file_vectors(rules: LatticeRules):
     def run(batches):
+        A.lean()
         for batch in batches:
             lists = batch.column("embedding").to_pylist()
             values = np.array(lists, np.float64)
@@ -152,6 +154,7 @@ def _compare(rules: LatticeRules):
                     yield table[rows[0]], rows[~home & second], rows[home & first], False
 
     def run(found):
+        A.lean()
         units = _units(found)
         node, n, label, code = (found.column(c).to_numpy() for c in ("node", "n", "label", "code"))
         links: dict[int, int] = {}

@@ -1,6 +1,6 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forecourt.llm.byte_bpe import decode_ids, encode_texts, read_ranks
+from forecourt.llm.byte_bpe import encode_and_decode, read_ranks
 from forecourt.llm.registry import query, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -15,8 +15,7 @@ def vocabulary(path: str | None = None) -> tuple[dict[bytes, int], str]:
 
 def encoded_and_decoded(docs: DataFrame) -> DataFrame:
     ranks, pattern = vocabulary()
-    out = decode_ids(encode_texts(docs, ranks, pattern), ranks)
-    return out.select(
+    return encode_and_decode(docs, ranks, pattern).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

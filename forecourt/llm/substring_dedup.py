@@ -74,6 +74,7 @@ def _table(rows: list) -> pa.Table:
 
 def _merge(found: pa.Table, values_of) -> tuple[list, np.ndarray]:
     """The senders' values, and for each value whether any other or the sender counted it again."""
+    A.lean()
     sent = [values_of(p) for p in found.column("payload").to_pylist()]
     again = [A.unpack_bits(f) for f in found.column("flags").to_pylist()]
     values = np.concatenate(sent)
