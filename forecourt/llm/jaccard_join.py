@@ -27,6 +27,7 @@ from forecourt.llm.components import connected_components, cut
 
 _U = np.uint64
 SKETCH_BITS = 512
+WIDE_BITS = 4096  # where sets lie side by side in a task
 FLUSH = 1 << 19  # segments that a task holds before it sends them
 BITMAP_BITS = 24
 IDS = "doc_id long, n long, class long, sketch array<long>"
@@ -172,27 +173,45 @@ def _meet_least(found: pa.Table) -> pa.Table:
     return _met([(zeros, zeros, star[:, 0], star[:, 1]), (ones, key, member, 0 * member)])
 
 
-def _cross_pairs(num: int, den: int):
+def _similar(one: np.ndarray, two: np.ndarray, num: int, den: int) -> bool:
+    common = len(np.intersect1d(one, two, assume_unique=True))
+    return den * common >= num * (len(one) + len(two) - common)
+
+
+def _wide_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    out = np.empty((len(sets), WIDE_BITS // 64), _U)
+    for i, members in enumerate(sets):
+        cell = (A.mix(members ^ _U(0x0BADC0DE5EED1234)) & _U(WIDE_BITS - 1)).astype(np.int64)
+        out[i] = np.packbits((np.bincount(cell, minlength=WIDE_BITS) & 1).astype(np.uint8)).view(_U)
+    return out
+
+
+def _cross_links(num: int, den: int):
     def run(found):
-        """Pairs of different components in one segment that sizes and sketches allow."""
-        key, member, root, n = (found.column(c).to_numpy() for c in ("key", "class", "root", "n"))
-        bits = np.array(found.column("sketch").to_pylist(), np.int64).view(_U).reshape(len(key), -1)
-        out = []
+        """Links that join different components within a segment, as many as it takes to join them."""
+        A.lean()
+        key, member, root = (found.column(c).to_numpy() for c in ("key", "class", "root"))
+        packed = found.column("members").to_pylist()
+        links: set[tuple[int, int]] = set()
         order = np.lexsort((root, key))
         for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-            roots, count = np.unique(root[rows], return_counts=True)
-            minor = rows[root[rows] != roots[count.argmax()]]
-            for low in range(0, len(minor), 512):
-                some = minor[low : low + 512]
-                for at in range(0, len(rows), 2048):
-                    against = rows[at : at + 2048]
-                    most = (n[some][:, None] + n[against][None, :]) * (den - num) // (den + num)
-                    far = sum(np.bitwise_count(bits[some, k][:, None] ^ bits[against, k][None, :]).astype(np.int64) for k in range(bits.shape[1]))
-                    ok = (far <= most) & (root[some][:, None] != root[against][None, :])
-                    i, j = np.nonzero(ok)
-                    a, b = member[some[i]], member[against[j]]
-                    out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            sets = [np.frombuffer(packed[r], "<u8") for r in rows.tolist()]
+            n = np.array([len(x) for x in sets], np.int64)
+            bits = _wide_sketches(sets)
+            _, group, count = np.unique(root[rows], return_inverse=True, return_counts=True)
+            group = group.ravel()
+            for i in np.flatnonzero(group != count.argmax()).tolist():
+                others = np.flatnonzero((group != group[i]) & (np.minimum(n, n[i]) * den >= np.maximum(n, n[i]) * num))
+                far = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                near = others[far <= (n[others] + n[i]) * (den - num) // (den + num)]
+                while len(near):
+                    j, near = near[0], near[1:]
+                    if _similar(sets[i], sets[j], num, den):
+                        a, b = int(member[rows[i]]), int(member[rows[j]])
+                        links.add((min(a, b), max(a, b)))
+                        group[group == group[j]] = group[i]
+                        near = near[group[near] != group[i]]
+        pairs = np.array(sorted(links), np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     return run
@@ -275,8 +294,9 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int
         alike = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
         return pairs.join(one, "a").join(two, "b").filter(alike & near).select("a", "b")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = bitmap(pairs.select("a").union(pairs.select("b")).distinct(), BITMAP_BITS)
+    def members_of(classes: DataFrame) -> DataFrame:
+        """The shingles of classes, one row each; a few more classes come along."""
+        wanted = bitmap(classes.distinct(), BITMAP_BITS)
 
         def fetch(batches):
             bits = marks(wanted)
@@ -289,16 +309,17 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int
                 packed = [values[first[i] : first[i + 1]].astype("<u8").tobytes() for i in at.tolist()]
                 yield pa.record_batch([_signed(whole[at]), pa.array(packed, pa.binary())], ["class", "members"])
 
+        return texts.mapInArrow(fetch, "class long, members binary").dropDuplicates(["class"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
         def compare(batches):
             for batch in batches:
                 same = []
                 for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                    one, two = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                    common = len(np.intersect1d(one, two, assume_unique=True))
-                    same.append(den * common >= num * (len(one) + len(two) - common))
+                    same.append(_similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), num, den))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(same))
 
-        members = texts.mapInArrow(fetch, "class long, members binary").dropDuplicates(["class"])
+        members = members_of(pairs.select("a").union(pairs.select("b")))
         x = members.select(F.col("class").alias("a"), F.col("members").alias("x"))
         y = members.select(F.col("class").alias("b"), F.col("members").alias("y"))
         return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
@@ -311,13 +332,13 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int
     rooted = shared.join(groups.select(F.col("node").alias("class"), "component"), "class", "left")
     rooted = rooted.select("key", "class", F.coalesce("component", "class").alias("root"))
     split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    open_ = rooted.join(split, "key", "left_semi").join(sets, "class")
-    open_ = open_.withColumn("block", F.pmod("key", F.lit(16 * blocks))).select("block", "key", "class", "root", "n", "sketch")
-    cross = open_.groupBy("block").applyInArrow(_cross_pairs(num, den), "a long, b long").distinct()
-    cross = cut(cross.join(stars, ["a", "b"], "left_anti"), "cross")
-    more = verified(cross) if cross.head(1) else None
-    if more is not None:
-        links = cut(links.union(more), "links")
+    unsettled = cut(rooted.join(split, "key", "left_semi"), "unsettled")
+    if unsettled.head(1):
+        dealt = unsettled.join(members_of(unsettled.select("class")), "class")
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(16 * blocks)))
+        dealt = dealt.select("block", "key", "class", "root", "members")
+        cross = dealt.groupBy("block").applyInArrow(_cross_links(num, den), "a long, b long").distinct()
+        links = cut(links.union(cross), "links")
         groups = connected_components(links)
 
     least = ids.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
