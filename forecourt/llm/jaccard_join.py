@@ -186,18 +186,21 @@ def _wide_sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _cross_links(num: int, den: int):
+def _cross_pairs(num: int, den: int, spanning: bool):
+    """Pairs of different components in a segment that sizes and wide sketches allow.
+
+    Spanning takes such pairs for links, and gives as many as would join the components.
+    """
+
     def run(found):
-        """Links that join different components within a segment, as many as it takes to join them."""
         A.lean()
-        key, member, root = (found.column(c).to_numpy() for c in ("key", "class", "root"))
+        key, member, root, size = (found.column(c).to_numpy() for c in ("key", "class", "root", "n"))
         packed = found.column("members").to_pylist()
-        links: set[tuple[int, int]] = set()
+        pairs: set[tuple[int, int]] = set()
         order = np.lexsort((root, key))
         for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-            sets = [np.frombuffer(packed[r], "<u8") for r in rows.tolist()]
-            n = np.array([len(x) for x in sets], np.int64)
-            bits = _wide_sketches(sets)
+            bits = np.frombuffer(b"".join(packed[r] for r in rows.tolist()), _U).reshape(len(rows), -1)
+            n = size[rows]
             _, group, count = np.unique(root[rows], return_inverse=True, return_counts=True)
             group = group.ravel()
             for i in np.flatnonzero(group != count.argmax()).tolist():
@@ -206,13 +209,13 @@ def _cross_links(num: int, den: int):
                 near = others[far <= (n[others] + n[i]) * (den - num) // (den + num)]
                 while len(near):
                     j, near = near[0], near[1:]
-                    if _similar(sets[i], sets[j], num, den):
-                        a, b = int(member[rows[i]]), int(member[rows[j]])
-                        links.add((min(a, b), max(a, b)))
+                    a, b = int(member[rows[i]]), int(member[rows[j]])
+                    pairs.add((min(a, b), max(a, b)))
+                    if spanning:
                         group[group == group[j]] = group[i]
                         near = near[group[near] != group[i]]
-        pairs = np.array(sorted(links), np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        out = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(out[:, 0], pa.int64()), "b": pa.array(out[:, 1], pa.int64())})
 
     return run
 
@@ -294,8 +297,8 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int
         alike = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
         return pairs.join(one, "a").join(two, "b").filter(alike & near).select("a", "b")
 
-    def members_of(classes: DataFrame) -> DataFrame:
-        """The shingles of classes, one row each; a few more classes come along."""
+    def members_of(classes: DataFrame, wide: bool = False) -> DataFrame:
+        """The shingles of classes, or their wide sketches, one row each; a few more classes come along."""
         wanted = bitmap(classes.distinct(), BITMAP_BITS)
 
         def fetch(batches):
@@ -306,7 +309,8 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int
                 hit = bits[(whole & _U((1 << BITMAP_BITS) - 1)).astype(np.int64)] & (whole > 0)
                 at = np.flatnonzero(hit)
                 at = at[np.unique(whole[at], return_index=True)[1]]
-                packed = [values[first[i] : first[i + 1]].astype("<u8").tobytes() for i in at.tolist()]
+                sets_here = [values[first[i] : first[i + 1]] for i in at.tolist()]
+                packed = [x.tobytes() for x in (_wide_sketches(sets_here) if wide else sets_here)]
                 yield pa.record_batch([_signed(whole[at]), pa.array(packed, pa.binary())], ["class", "members"])
 
         return texts.mapInArrow(fetch, "class long, members binary").dropDuplicates(["class"])
@@ -328,17 +332,25 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int
     links = cut(verified(stars), "links")
     groups = connected_components(links)
 
+    # What shares a segment and is still apart: first as many pairs as would join it, if wide sketches
+    # are right, then, for the few that whole sets refuse, all that is left.
     shared = met.filter("kind = 1").select("key", F.col("a").alias("class"))
-    rooted = shared.join(groups.select(F.col("node").alias("class"), "component"), "class", "left")
-    rooted = rooted.select("key", "class", F.coalesce("component", "class").alias("root"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    unsettled = cut(rooted.join(split, "key", "left_semi"), "unsettled")
-    if unsettled.head(1):
-        dealt = unsettled.join(members_of(unsettled.select("class")), "class")
+    tested = stars
+    for spanning in (True, False):
+        rooted = shared.join(groups.select(F.col("node").alias("class"), "component"), "class", "left")
+        rooted = rooted.select("key", "class", F.coalesce("component", "class").alias("root"))
+        split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+        unsettled = cut(rooted.join(split, "key", "left_semi"), "unsettled")
+        dealt = unsettled.join(members_of(unsettled.select("class"), wide=True), "class").join(sets.select("class", "n"), "class")
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(16 * blocks)))
-        dealt = dealt.select("block", "key", "class", "root", "members")
-        cross = dealt.groupBy("block").applyInArrow(_cross_links(num, den), "a long, b long").distinct()
-        links = cut(links.union(cross), "links")
+        dealt = dealt.select("block", "key", "class", "root", "n", "members")
+        cross = dealt.groupBy("block").applyInArrow(_cross_pairs(num, den, spanning), "a long, b long").distinct()
+        cross = cut(cross, "cross")
+        if not cross.head(1):
+            break
+        cross = cross.join(tested, ["a", "b"], "left_anti")
+        tested = tested.union(cross)
+        links = cut(links.union(verified(cross)), "links")
         groups = connected_components(links)
 
     least = ids.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
