@@ -63,7 +63,7 @@ def _row_cells(one: np.ndarray, row: int, bits: int):
 def _by_block(keys: np.ndarray, shift: int):
     """(block, low, high) for runs of sorted keys with the same leading bits."""
     blocks, low = np.unique(keys >> _U(shift), return_index=True)
-    high = np.append(low[1:], len(keys))
+    high = np.append(low[1:], len(keys))[: len(low)]
     return zip(blocks.tolist(), low.tolist(), high.tolist(), strict=True)
 
 
