@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from forecourt.operators.distinct import new_rows
 from forecourt.sources.tables import read_table_or_none
 
-BATCH = "batch_id"
+BATCH, WRITER = "batch_id", "writer"
 
 
-def append_new(batch: DataFrame, target: str, keys: list[str], batch_id: int) -> DataFrame:
+def append_new(batch: DataFrame, target: str, keys: list[str], batch_id: int, writer: str) -> DataFrame:
     """Add the rows of the batch whose key the target lacks; returns the rows added.
 
-    Every batch is a folder `batch_id=n` of the target, written by overwriting that folder alone.
-    A repeated batch, after a lost driver for example, compares with the other batches only and
-    replaces what it wrote before, so the target never gets a row twice and nothing is rewritten.
+    Every batch of a writer is a folder `writer=w/batch_id=n` of the target, written by overwriting
+    that folder alone. A repeated batch, after a lost driver for example, compares with all other
+    folders and replaces what it wrote before. The name tells writers apart: batches of different
+    writers never share a folder, so none overwrites or leaves out rows of another. One writer must
+    not number two different batches alike. Writers that run at the same time don't see each other.
     """
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", writer):
+        raise ValueError("a writer's name has letters, digits, _ and - only")
     spark = batch.sparkSession
     stored = read_table_or_none(spark, target)
     if stored is None:
         fresh = batch.dropDuplicates(keys)
     else:
-        fresh = new_rows(batch, stored.filter(F.col(BATCH) != batch_id), keys)
-    path = f"{target}/{BATCH}={batch_id}"
+        mine = (F.col(WRITER) == writer) & (F.col(BATCH) == batch_id)
+        fresh = new_rows(batch, stored.filter(~mine), keys)
+    path = f"{target}/{WRITER}={writer}/{BATCH}={batch_id}"
     fresh.write.mode("overwrite").parquet(path)
     return spark.read.schema(batch.schema).parquet(path)

@@ -10,7 +10,7 @@ from forecourt.operators.lookups import sorted_by_price
 from forecourt.params import CleanRules
 from forecourt.plans.clean import clean_listings
 from forecourt.schema import MERGED, SOURCE_A, SOURCE_B
-from forecourt.sources.tables import read_csv, write_csv, write_table
+from forecourt.sources.tables import null_tokens_to_null, read_csv, write_csv, write_table
 
 
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
@@ -20,7 +20,11 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
 
 
 def merge_sources(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Both raw tables in one, litres throughout, with their source; all columns text."""
+    """Both raw tables in one, litres throughout, with their source; all columns text.
+
+    Texts that stand for a missing value are null from here on, also in tables that no CSV edge read.
+    """
+    a, b = null_tokens_to_null(a), null_tokens_to_null(b)
     both = union_tables(
         with_source(a, SOURCE_A),
         with_source(convert_volume(b).withColumn("volume_l", F.col("volume_l").cast("string")), SOURCE_B),

@@ -368,29 +368,29 @@ def incremental_append(spark, sf_dir):
     """Rows added by each run of the append: first run, second run, second run repeated."""
     stored, arriving = _stored_and_arriving(spark, sf_dir)
     target = scratch_path(spark, "append")
-    append_new(stored, target, stored.columns, 0)
-    append_new(arriving, target, stored.columns, 1)
-    append_new(arriving, target, stored.columns, 1)
-    append_new(arriving, target, stored.columns, 2)
+    append_new(stored, target, stored.columns, 0, "batches")
+    append_new(arriving, target, stored.columns, 1, "batches")
+    append_new(arriving, target, stored.columns, 1, "batches")
+    append_new(arriving, target, stored.columns, 2, "batches")
     return spark.read.parquet(target).groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars")
     )
 
 
-@query("SELECT DISTINCT text, lang, source, n_chars FROM documents")
+@query("SELECT text, lang AS kind FROM documents UNION SELECT text, role FROM conversations")
 def streamed_append(spark, sf_dir):
-    """The documents as a stream, taken in twice: the second run adds nothing."""
-    schema = table(spark, sf_dir, "documents").schema
+    """Documents and conversations as two streams into one table; the first runs again and adds nothing."""
     target = scratch_path(spark, "stream")
-    for _ in range(2):
+    offsets = {name: scratch_path(spark, f"offsets-{name}") for name in ("documents", "conversations")}
+    for name, kind in (("documents", "lang"), ("conversations", "role"), ("documents", "lang")):
         stream = (
-            spark.readStream.schema(schema)
-            .option("pathGlobFilter", "documents.parquet")
+            spark.readStream.schema(table(spark, sf_dir, name).schema)
+            .option("pathGlobFilter", f"{name}.parquet")
             .parquet(sf_dir)
-            .drop("doc_id")
+            .select("text", F.col(kind).alias("kind"))
         )
-        append_stream(stream, target, stream.columns, scratch_path(spark, "offsets")).awaitTermination()
-    return spark.read.parquet(target).drop("batch_id")
+        append_stream(stream, target, stream.columns, offsets[name]).awaitTermination()
+    return spark.read.parquet(target).select("text", "kind")
 
 
 @query("""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
@@ -19,7 +21,10 @@ def append_stream(stream: DataFrame, target: str, keys: list[str], checkpoint: s
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_new(batch, target, keys, batch_id)
+        # The id that Spark gives a query lives in its checkpoint, so it survives restarts and no
+        # other stream has it, also not one that begins anew at the same place.
+        stored = batch.sparkSession.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0]
+        append_new(batch, target, keys, batch_id, writer=json.loads(stored)["id"])
 
     return (
         stream.writeStream.foreachBatch(write)

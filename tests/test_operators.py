@@ -70,12 +70,18 @@ def test_append(spark, tmp_path):
     target = str(tmp_path / "target")
     old = spark.createDataFrame([("a", None), ("b", 2)], "k string, n int")
     new = spark.createDataFrame([("a", None), ("c", 3), ("c", 3)], "k string, n int")
-    assert append_new(old, target, ["k", "n"], 0).count() == 2
-    assert values(append_new(new, target, ["k", "n"], 1)) == [("c", 3)]
-    assert append_new(new, target, ["k", "n"], 2).count() == 0
+    assert append_new(old, target, ["k", "n"], 0, "w").count() == 2
+    assert values(append_new(new, target, ["k", "n"], 1, "w")) == [("c", 3)]
+    assert append_new(new, target, ["k", "n"], 2, "w").count() == 0
     # A batch that runs again replaces what it wrote.
-    assert values(append_new(new, target, ["k", "n"], 1)) == [("c", 3)]
+    assert values(append_new(new, target, ["k", "n"], 1, "w")) == [("c", 3)]
     assert spark.read.parquet(target).count() == 3
+    # Another writer with the same number neither overwrites nor leaves out what is stored.
+    more = spark.createDataFrame([("b", 2), ("d", 4)], "k string, n int")
+    assert values(append_new(more, target, ["k", "n"], 1, "other")) == [("d", 4)]
+    assert values(spark.read.parquet(target).select("k", "n")) == [("a", None), ("b", 2), ("c", 3), ("d", 4)]
+    with pytest.raises(ValueError):
+        append_new(more, target, ["k", "n"], 3, "a/b")
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -88,7 +94,7 @@ def test_stream_equals_batch(spark, tmp_path):
         append_stream(stream, target, ["k", "n"], str(tmp_path / "offsets")).awaitTermination()
     stored = spark.read.parquet(target)
     assert stored.select("batch_id").distinct().count() > 1
-    assert values(stored.drop("batch_id")) == values(distinct.distinct_rows(df))
+    assert values(stored.drop("batch_id", "writer")) == values(distinct.distinct_rows(df))
 
 
 def test_distinct_operators(spark):
