@@ -12,7 +12,7 @@ PAGE = 16
 def bitmap(values: DataFrame, bits: int) -> bytes:
     """One bit for each remainder modulo 2**bits (over 16) that the only column of `values` has.
 
-    It has 2**bits / 8 bytes at any size of the input. A set bit may stand for several hashes, so
+    It has 2**bits / 8 bytes at any size of the input, and no more comes to the driver, in one job. A set bit may stand for several hashes, so
     it lets too much through at worst, and never loses any.
     """
     place = F.col(values.columns[0]).bitwiseAND(F.lit((1 << bits) - 1))
@@ -26,7 +26,7 @@ def bitmap(values: DataFrame, bits: int) -> bytes:
         return pa.table({"page": found.column("page").slice(0, 1), "marks": pa.array([np.packbits(marks).tobytes()], pa.binary())})
 
     whole, size = bytearray((1 << bits) // 8), (1 << PAGE) // 8
-    for row in pages.distinct().groupBy("page").applyInArrow(page, "page int, marks binary").toLocalIterator():
+    for row in pages.distinct().groupBy("page").applyInArrow(page, "page int, marks binary").collect():
         whole[row["page"] * size : (row["page"] + 1) * size] = row["marks"]
     return bytes(whole)
 

@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from forecourt.llm import arrays as A
 from forecourt.llm.bitmaps import bitmap, marks
-from forecourt.llm.components import connected_components, cut
+from forecourt.llm.components import connected_components, cut, two_levels
 
 _U = np.uint64
 SKETCH_BITS = 512
-WIDE_BITS = 4096  # where sets lie side by side in a task
+WIDE_BITS = 4096  # the most that a wide sketch has; it has two bits a shingle, rounded up to a power of two
 FLUSH = 1 << 19  # segments that a task holds before it sends them
 BITMAP_BITS = 24
-IDS = "doc_id long, n long, class long, sketch array<long>"
+IDS = "doc_id long, n long, class long, sketch array<long>, wide binary"
 SEGMENTS = "block int, payload binary"
 MET = "kind int, key long, a long, b long"
 
@@ -178,14 +178,23 @@ def _similar(one: np.ndarray, two: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(one) + len(two) - common)
 
 
-def _wide_sketches(sets: list[np.ndarray]) -> np.ndarray:
-    out = np.empty((len(sets), WIDE_BITS // 64), _U)
-    for i, members in enumerate(sets):
-        cell = (A.mix(members ^ _U(0x0BADC0DE5EED1234)) & _U(WIDE_BITS - 1)).astype(np.int64)
-        out[i] = np.packbits((np.bincount(cell, minlength=WIDE_BITS) & 1).astype(np.uint8)).view(_U)
+def _wide_sketches(values: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Parity of the shingles of each set in as many cells as suit its size."""
+    out, cells = [], A.mix(values ^ _U(0x0BADC0DE5EED1234))
+    for low, high in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        width = min(max(1 << (2 * (high - low)).bit_length(), SKETCH_BITS), WIDE_BITS)
+        cell = (cells[low:high] & _U(width - 1)).astype(np.int64)
+        out.append(np.packbits((np.bincount(cell, minlength=width) & 1).astype(np.uint8)).tobytes())
     return out
 
 
+def _side_by_side(packed: list[bytes]) -> np.ndarray:
+    """Wide sketches as one matrix; wider ones are folded to the width of the narrowest, cell on cell."""
+    width = min(map(len, packed)) // 8
+    folded = [np.bitwise_xor.reduce(np.frombuffer(p, _U).reshape(-1, width), axis=0) for p in packed]
+    return np.stack(folded)
+
+
 def _cross_pairs(num: int, den: int, spanning: bool):
     """Pairs of different components in a segment that sizes and wide sketches allow.
 
@@ -195,11 +204,11 @@ def _cross_pairs(num: int, den: int, spanning: bool):
     def run(found):
         A.lean()
         key, member, root, size = (found.column(c).to_numpy() for c in ("key", "class", "root", "n"))
-        packed = found.column("members").to_pylist()
+        packed = found.column("wide").to_pylist()
         pairs: set[tuple[int, int]] = set()
         order = np.lexsort((root, key))
         for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-            bits = np.frombuffer(b"".join(packed[r] for r in rows.tolist()), _U).reshape(len(rows), -1)
+            bits = _side_by_side([packed[r] for r in rows.tolist()])
             n = size[rows]
             _, group, count = np.unique(root[rows], return_inverse=True, return_counts=True)
             group = group.ravel()
@@ -244,8 +253,9 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int
                     pa.array(np.diff(first), pa.int64()),
                     _signed(_classes(values, first)),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sketches) + 1) * width, pa.int32()), pa.array(sketches.ravel(), pa.int64())),
+                    pa.array(_wide_sketches(values, first), pa.binary()),
                 ],
-                ["doc_id", "n", "class", "sketch"],
+                ["doc_id", "n", "class", "sketch", "wide"],
             )
 
     ids = cut(texts.mapInArrow(identify, IDS), "sets")
@@ -286,7 +296,7 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int
             yield flush()
 
     met = cut(texts.mapInArrow(send, SEGMENTS).groupBy("block").applyInArrow(_meet_least, MET), "met")
-    sets = ids.filter("n > 0").select("class", "n", "sketch").dropDuplicates(["class"])
+    sets = ids.filter("n > 0").select("class", "n", "sketch", "wide").dropDuplicates(["class"])
 
     def allowed(pairs: DataFrame) -> DataFrame:
         """The pairs whose sizes and sketches leave the similarity possible."""
@@ -297,8 +307,8 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int
         alike = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
         return pairs.join(one, "a").join(two, "b").filter(alike & near).select("a", "b")
 
-    def members_of(classes: DataFrame, wide: bool = False) -> DataFrame:
-        """The shingles of classes, or their wide sketches, one row each; a few more classes come along."""
+    def members_of(classes: DataFrame) -> DataFrame:
+        """The shingles of classes, one row each; a few more classes come along."""
         wanted = bitmap(classes.distinct(), BITMAP_BITS)
 
         def fetch(batches):
@@ -309,8 +319,7 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int
                 hit = bits[(whole & _U((1 << BITMAP_BITS) - 1)).astype(np.int64)] & (whole > 0)
                 at = np.flatnonzero(hit)
                 at = at[np.unique(whole[at], return_index=True)[1]]
-                sets_here = [values[first[i] : first[i + 1]] for i in at.tolist()]
-                packed = [x.tobytes() for x in (_wide_sketches(sets_here) if wide else sets_here)]
+                packed = [values[first[i] : first[i + 1]].tobytes() for i in at.tolist()]
                 yield pa.record_batch([_signed(whole[at]), pa.array(packed, pa.binary())], ["class", "members"])
 
         return texts.mapInArrow(fetch, "class long, members binary").dropDuplicates(["class"])
@@ -330,28 +339,34 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int
 
     stars = cut(allowed(met.filter("kind = 0").select("a", "b").distinct()), "stars")
     links = cut(verified(stars), "links")
-    groups = connected_components(links)
+    groups = two_levels(links)
 
     # What shares a segment and is still apart: first as many pairs as would join it, if wide sketches
-    # are right, then, for the few that whole sets refuse, all that is left.
+    # are right. Where whole sets refuse some of these, all pairs of the segments concerned follow.
     shared = met.filter("kind = 1").select("key", F.col("a").alias("class"))
     tested = stars
     for spanning in (True, False):
         rooted = shared.join(groups.select(F.col("node").alias("class"), "component"), "class", "left")
         rooted = rooted.select("key", "class", F.coalesce("component", "class").alias("root"))
         split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-        unsettled = cut(rooted.join(split, "key", "left_semi"), "unsettled")
-        dealt = unsettled.join(members_of(unsettled.select("class"), wide=True), "class").join(sets.select("class", "n"), "class")
+        unsettled = rooted.join(split, "key", "left_semi")
+        dealt = unsettled.join(sets.select("class", "n", "wide"), "class")
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(16 * blocks)))
-        dealt = dealt.select("block", "key", "class", "root", "n", "members")
+        dealt = dealt.select("block", "key", "class", "root", "n", "wide")
         cross = dealt.groupBy("block").applyInArrow(_cross_pairs(num, den, spanning), "a long, b long").distinct()
-        cross = cut(cross, "cross")
+        cross = cut(cross.join(tested, ["a", "b"], "left_anti"), "cross")
+        if cross.head(1):
+            found = cut(verified(cross), "links")
+            links = links.union(found)
+        if spanning or cross.head(1):
+            groups = connected_components(links)
         if not cross.head(1):
             break
-        cross = cross.join(tested, ["a", "b"], "left_anti")
+        refused = cross.join(found, ["a", "b"], "left_anti").select(F.col("a").alias("class")).distinct()
+        if not spanning or not refused.head(1):
+            break
         tested = tested.union(cross)
-        links = cut(links.union(verified(cross)), "links")
-        groups = connected_components(links)
+        shared = shared.join(shared.join(refused, "class", "left_semi").select("key").distinct(), "key", "left_semi")
 
     least = ids.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     rooted = least.join(groups.select(F.col("node").alias("class"), "component"), "class", "left")
