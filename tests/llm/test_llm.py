@@ -131,6 +131,13 @@ def test_components_of_a_path(spark):
     assert found == {**dict.fromkeys(range(31), 0), 100: 100, 101: 100}
 
 
+def test_two_levels_name_connected_nodes(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 9), (5, 6)], "a long, b long")
+    found = {r.node: r.component for r in components.two_levels(links).collect()}
+    assert found == {2: 1, 3: 1, 4: 2, 9: 1, 6: 5}
+    assert components.two_levels(links.limit(0)).collect() == []
+
+
 def test_lines(spark):
     block = "\n".join(f"line {i}" for i in range(40))
     rows = [(1, "start\n" + block), (2, "other\nbegin\n" + block), (3, None), (4, ""), (5, "a\nb"), (5, "a\nb"), (None, "solo")]
