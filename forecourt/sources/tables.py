@@ -19,6 +19,8 @@ def null_tokens_to_null(df: DataFrame, tokens: tuple[str, ...] = NULL_TOKENS) ->
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A CSV export as all-text columns under their ASCII names; a missing path fails.
 
+    So does a file whose header names other columns, or the same ones in another order.
+
     Quoted line breaks need `multi_line`, which reads each file in one task. Turn it off to split
     large files that hold none.
     """
@@ -28,6 +30,7 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
+        .option("enforceSchema", False)
         .csv(path)
     )
     named = raw.select(*[F.col(f"`{c}`").alias(HEADERS.get(c, c)) for c in raw.columns])

@@ -192,6 +192,14 @@ def test_csv_edge(spark, tmp_path):
         read_csv(spark, str(tmp_path / "missing.csv"))
 
 
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_csv_headers_must_agree(spark, tmp_path, multi_line):
+    (tmp_path / "a.csv").write_text("Model,Cena\nFabia,1\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("Cena,Model\n2,Octavia\n", encoding="utf-8")
+    with pytest.raises(Exception, match="header"):
+        read_csv(spark, str(tmp_path), multi_line).collect()
+
+
 def test_null_tokens(spark):
     df = spark.createDataFrame([("NA", 1), ("na", 2), ("", 3)], "t string, n int")
     assert values(null_tokens_to_null(df)) == [("na", 2), (None, 1), (None, 3)]
