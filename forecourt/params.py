@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 # Brand prefixes in matching order.
 BRAND_PREFIXES = {
@@ -101,24 +101,33 @@ class DetailB:
     engine: str = "Objem"
 
 
-@dataclass(frozen=True)
-class Budget:
-    """When a collection over numbered result pages ends."""
+def bounded(default, least=None, above: str | None = None):
+    """A parameter with its smallest value and the parameter that it must exceed; None is unbounded."""
+    return field(default=default, metadata={"least": least, "above": above})
 
-    min_rows: int = 50
-    max_pages: int = 5
-    min_price: int | None = None
-    max_price: int | None = None
+
+class Bounded:
+    """Parameters that hold to the bounds of their declarations; all breaches are told at once."""
 
     def __post_init__(self):
-        faults = []
-        if self.min_price is not None and self.min_price < 0:
-            faults.append("min_price must not be negative")
-        if self.min_rows <= 0:
-            faults.append("min_rows must be positive")
-        if self.max_pages <= 0:
-            faults.append("max_pages must be positive")
-        if self.min_price is not None and self.max_price is not None and self.min_price >= self.max_price:
-            faults.append("min_price must be below max_price")
-        if faults:
-            raise ValueError("; ".join(faults))
+        breaches = []
+        for f in fields(self):
+            value, least, other = getattr(self, f.name), f.metadata.get("least"), f.metadata.get("above")
+            if value is None:
+                continue
+            if least is not None and value < least:
+                breaches.append(f"{f.name} is {value}, at least {least} is needed")
+            if other and (under := getattr(self, other)) is not None and value <= under:
+                breaches.append(f"{f.name} is {value}, more than {other} ({under}) is needed")
+        if breaches:
+            raise ValueError(", ".join(breaches))
+
+
+@dataclass(frozen=True)
+class Budget(Bounded):
+    """When a collection over numbered result pages ends."""
+
+    min_rows: int = bounded(50, least=1)
+    max_pages: int = bounded(5, least=1)
+    min_price: int | None = bounded(None, least=0)
+    max_price: int | None = bounded(None, above="min_price")
