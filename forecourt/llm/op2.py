@@ -1,6 +1,6 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forecourt.llm.line_dedup import dedup_lines
+from forecourt.llm.line_dedup import dedup_chunks
 from forecourt.llm.registry import query, table
 
 SQL = r"""
@@ -38,5 +38,5 @@ FROM documents d LEFT JOIN done USING (doc_id)
 
 @query(SQL)
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -152,6 +152,22 @@ def test_lines(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_short_runs_between_unlike_lines(spark):
+    rng = random.Random(11)
+    runs = [[some_text(rng, 60 // n + 1) for _ in range(n)] for n in range(2, 9) for _ in range(6)]
+    own = lambda: [some_text(rng, 9) for _ in range(rng.randrange(1, 4))]
+    rows, left = [], {}
+    for i, run in enumerate(runs):
+        for copy in range(3):
+            before, after = own(), own()
+            rows.append((1000 * copy + i, "\n".join([*before, *run, *after])))
+            left[1000 * copy + i] = rows[-1][1] if copy == 0 else "\n".join([*before, *after])
+    rows += [(9000, "a\n\n\nb"), (9001, "c\n\n\nd"), (9002, "same line\nx"), (9003, "same line\ny")]
+    out = dedup_lines(table_of(spark, rows)).collect()
+    assert {r.doc_id: r.text for r in out} == left | dict(rows[-4:])
+    assert all(r.n_removed == len(runs[r.doc_id % 1000]) for r in out if 1000 <= r.doc_id < 9000)
+
+
 def test_leaks(spark):
     rng = random.Random(2)
     items = [(i, some_text(rng, 30), None if i else "right answer") for i in range(12)] + [(50, None, None), (51, "", None)]
