@@ -4,10 +4,15 @@ The passages' TF-IDF matrix, weighted by how many documents hold a word, goes th
 singular value decomposition whose products run as Spark jobs over the passages. Windows of every
 document are folded into the same space; where a window and a passage point alike, the longest
 common subsequence of their words decides, and the answer, if the benchmark has one, must be there.
+
+The space has fewer dimensions than a large benchmark has passages, and a short passage turns a
+window only a little. Places that share pairs of words in a row with a passage are therefore
+candidates too, at any size of the benchmark.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +39,7 @@ class DecontaminationRules:
     share: float = 0.6  # of a passage's words that the common subsequence must hold
     least: int = 8  # words that it must hold
     block: int = 4096  # passages that meet the documents at once
+    group: int = 256  # passages whose word pairs meet a piece of the documents at once
     seed: int = 3
 
 
@@ -197,10 +203,77 @@ def common_length(masks: dict[int, int], n: int, words: list[int]) -> int:
     return n - state.bit_count()
 
 
+def _pairs(hashes: np.ndarray) -> np.ndarray:
+    return A.mix(hashes[:-1] * _U(0x9E3779B97F4A7C15) + hashes[1:])
+
+
+class _Pairs:
+    """The pairs of words in a row of a block's passages, and how many of them make a candidate.
+
+    A copy that holds k of n words in order, the others replaced one for one, keeps at least
+    2k - n - 1 of the n - 1 pairs. A third of these may be the passage's commonest pairs, which are
+    left out, another third may be lost to words put in between; the rest must be there. Passages of
+    less than `least` words must be there with all pairs; those of one word have none.
+    """
+
+    def __init__(self, words: list[list[int]], rules: DecontaminationRules):
+        mine = [_pairs(np.array(w, np.int64).view(_U)) for w in words]
+        self.keys, counts = np.unique(np.concatenate(mine), return_counts=True)
+        self.need, entries = [], []
+        for passage, found in enumerate(mine):
+            n = len(found) + 1
+            if n < rules.least:
+                need, spared = n - 1, 0
+            else:
+                sure = 2 * max(rules.least, math.ceil(rules.share * n)) - n - 1
+                spared = max(sure, 0) // 3
+                need = max(1, sure - 2 * spared)
+            self.need.append(need)
+            name = np.searchsorted(self.keys, found)
+            at = np.argsort(counts[name], kind="stable")[: len(found) - spared]
+            entries.append(np.stack([np.full(len(at), passage), at, name[at]]))
+        self.need = np.array(self.need)
+        self.drift = np.maximum(4, np.array([len(w) for w in words]) // 4)
+        entries = np.concatenate(entries, axis=1).astype(np.int64)
+        self.groups = []
+        for low in range(0, len(words), rules.group):
+            passage, at, name = entries[:, (entries[0] >= low) & (entries[0] < low + rules.group)]
+            order = np.argsort(name, kind="stable")
+            first = np.searchsorted(name[order], np.arange(len(self.keys) + 1))
+            self.groups.append((passage[order].astype(np.int32), at[order].astype(np.int32), first.astype(np.int32)))
+
+    def candidates(self, hashes: np.ndarray, owner: np.ndarray, apart: int):
+        """(passage, text, first word that a copy would have) of the places with enough pairs."""
+        if len(hashes) < 2 or not len(self.keys):
+            return
+        pairs = _pairs(hashes)
+        name = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
+        at = np.flatnonzero((self.keys[name] == pairs) & (owner[1:] == owner[:-1]))
+        name = name[at]
+        span = len(hashes) + apart * (int(owner[-1]) + 2)
+        for passages, places, first in self.groups:
+            size = first[name + 1] - first[name]
+            total = int(size.sum())
+            if not total:
+                continue
+            entry = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[name], size)
+            word = np.repeat(at, size)
+            passage = passages[entry].astype(np.int64)
+            start = word - places[entry]
+            # Texts are moved apart, so that no count reaches into the next one.
+            key = passage * span + start + apart * (owner[word] + 1)
+            order = np.argsort(key)
+            key, passage = key[order], passage[order]
+            enough = np.searchsorted(key, key + self.drift[passage], side="right") - np.arange(total) >= self.need[passage]
+            key, passage, order = key[enough], passage[enough], order[enough]
+            _, one = np.unique(np.stack([passage, key // self.drift[passage]]), axis=1, return_index=True)
+            yield from zip(passage[one].tolist(), owner[word[order[one]]].tolist(), start[order[one]].tolist(), strict=True)
+
+
 class _Passages:
     """A block of passages, ready to meet documents."""
 
-    def __init__(self, rows: list, slots_of: np.ndarray, latent: np.ndarray, weights: np.ndarray):
+    def __init__(self, rows: list, slots_of: np.ndarray, latent: np.ndarray, weights: np.ndarray, rules: DecontaminationRules):
         self.items = [r["item_id"] for r in rows]
         self.words = [list(r["words"]) for r in rows]
         self.answers = [list(r["answer"] or ()) for r in rows]
@@ -214,6 +287,7 @@ class _Passages:
             for i, word in enumerate(words):
                 masks[word] = masks.get(word, 0) | 1 << i
             self.masks.append(masks)
+        self.pairs = _Pairs(self.words, rules)
 
 
 def _windows(found: A.Words, hashes: np.ndarray, known: np.ndarray, table: np.ndarray, slots_of: np.ndarray, step: int):
@@ -250,20 +324,28 @@ def _match(block: _Passages, slots_of: np.ndarray, table: np.ndarray, members: b
             signed = hashes.view(np.int64)
             vectors, text, place = _windows(found, hashes, known, table, slots_of, step)
             hits: dict[tuple[int, int], float] = {}
+
+            def compare(p: int, doc: int, low: int, high: int) -> None:
+                n = len(block.words[p])
+                words = signed[max(found.first[doc], low) : min(found.first[doc + 1], high)].tolist()
+                common = common_length(block.masks[p], n, words)
+                if common < min(rules.least, n) or common < rules.share * n:
+                    return
+                if block.answers[p] and not _holds(signed[found.first[doc] : found.first[doc + 1]], block.answers[p]):
+                    return
+                key = (doc, block.items[p])
+                hits[key] = max(hits.get(key, 0.0), common / n)
+
             for low in range(0, len(vectors), 4096):
                 near = vectors[low : low + 4096] @ transposed
                 for w, p in zip(*(x.tolist() for x in np.nonzero(near >= rules.cosine)), strict=True):
-                    doc = int(text[low + w])
-                    n = len(block.words[p])
+                    doc, n = int(text[low + w]), len(block.words[p])
                     begin = found.first[doc] + int(place[low + w]) * step
-                    words = signed[max(found.first[doc], begin - n) : min(found.first[doc + 1], begin + 2 * step + n)].tolist()
-                    common = common_length(block.masks[p], n, words)
-                    if common < min(rules.least, n) or common < rules.share * n:
-                        continue
-                    if block.answers[p] and not _holds(signed[found.first[doc] : found.first[doc + 1]], block.answers[p]):
-                        continue
-                    key = (doc, block.items[p])
-                    hits[key] = max(hits.get(key, 0.0), common / n)
+                    compare(p, doc, begin - n, begin + 2 * step + n)
+            owner = np.repeat(np.arange(len(found.first) - 1), np.diff(found.first))
+            for p, doc, start in block.pairs.candidates(hashes, owner, 4 * rules.passage):
+                drift = int(block.pairs.drift[p])
+                compare(p, doc, start - drift, start + 2 * drift + len(block.words[p]))
             matched: list[list] = [[] for _ in range(piece.num_rows)]
             for (doc, item), share in sorted(hits.items()):
                 matched[doc].append({"item_id": item, "share": share})
@@ -286,8 +368,8 @@ def _holds(words: np.ndarray, answer: list[int]) -> bool:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: DecontaminationRules = DecontaminationRules()) -> DataFrame:
     """All columns of docs and matches: (item_id, share of the passage's words), by item.
 
-    A document matches an item if a window of it comes near a passage of the item in the latent
-    space, holds at least `share` of the passage's words in order, near each other, and, where the
+    A document matches an item if a place in it comes near a passage of the item in the latent
+    space, or by its pairs of words in a row, holds at least `share` of the passage's words in order, near each other, and, where the
     benchmark has an answer that is not null, holds the answer's words somewhere in a row. Words
     compare without the case of A-Z. Null and empty texts and items match nothing; an empty
     benchmark gives no matches. Rows are independent; a column named matches is replaced. Items
@@ -306,6 +388,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: DecontaminationRule
     slots_of[slots] = np.arange(len(slots))
     table = latent * weights[slots, None].astype(np.float32)
     for block in _blocks(passages, rules.block):
-        ready = _Passages(block, slots_of, latent, weights)
+        ready = _Passages(block, slots_of, latent, weights, rules)
         rows = rows.mapInArrow(_match(ready, slots_of, table, members, rules), rows.schema)
     return rows

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from forecourt.llm import chat_format, components, jaccard_join, lattice_dedup, pii
 from forecourt.llm.byte_bpe import Encoder, Vocabulary, encode_and_decode, encode_texts
-from forecourt.llm.decontamination import find_leaks
+from forecourt.llm.decontamination import DecontaminationRules, find_leaks
 from forecourt.llm.e8 import nearest_points
 from forecourt.llm.language_id import held_out, predict_languages, train_language_model
 from forecourt.llm.line_dedup import dedup_lines
@@ -182,6 +182,24 @@ def test_leaks(spark):
     assert find_leaks(table_of(spark, rows), benchmark.limit(0)).filter(F.size("matches") > 0).count() == 0
 
 
+def test_leaks_of_every_length_from_many_items(spark):
+    rng = random.Random(6)
+    common = [f"w{int(rng.paretovariate(0.6))}" for _ in range(20_000)]
+    prose = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    items = [(i, prose(4 + i % 67)) for i in range(600)]
+    rows, planted = [], set()
+    for doc, (item, text) in enumerate(items[::6]):
+        words = text.split()
+        if len(words) > 16 and doc % 2:  # a word replaced, one left out, one put in
+            words[5], words[9] = "other", "put in"
+            del words[13]
+        rows.append((doc, f"{prose(rng.randrange(60, 150))} {' '.join(words)} {prose(rng.randrange(60, 150))}"))
+        planted.add((doc, item))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = find_leaks(df, spark.createDataFrame(items, "item_id long, text string"), DecontaminationRules(rank=8)).collect()
+    assert planted <= {(r.doc_id, m.item_id) for r in out for m in r.matches}
+
+
 def test_urls(spark):
     urls = ["http://A.b.NET/x", "http://net/", "http://xnet/", "http://a.net", "http://q.example.net/en/1?x=http://a", "nothing", None, "ftp://c.example.com/de/", "http://c.example.com/de", "://", "http://q.example.net/en/1?x=http://a"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("host", F.lit(1))
