@@ -116,6 +116,19 @@ def test_jaccard_near_the_threshold(spark):
     assert as_list(jaccard_join.ngram_jaccard_groups(df).collect()) == as_list(brute_groups(rows))
 
 
+def test_pipeline_keeps_one_of_five_word_copies(spark):
+    rng = random.Random(12)
+    rows = []
+    for base in range(12):
+        words = some_text(rng, 24 + 3 * base).split()
+        cut = (len(words) - 4) // 5 + base % 2
+        rows += [(2 * base, " ".join(words)), (2 * base + 1, " ".join(words[:-cut]))]
+    kept = {d for d, _, least in brute_groups(rows, 5, 80, 100) if d == least}
+    assert kept != {d for d, _, least in brute_groups(rows) if d == least}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.ngram_jaccard(spark, df, "").collect()} == kept
+
+
 def test_segments_outnumber_differences():
     bands = jaccard_join.Bands(85, 100)
     bands.grow(50_000)
