@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MAX_LIST = 10_000
 
@@ -26,17 +26,23 @@ def lookup(df: DataFrame, **equals) -> DataFrame:
 def domain_lists(df: DataFrame, keys: list[str], value: str, max_list: int = MAX_LIST) -> DataFrame:
     """(keys, part, parts, values): the sorted distinct values of each key as lists.
 
-    A key has one list unless its values do not fit into `max_list`; then they are split by hash
-    over several parts of about that size, so that no task gathers an unbounded list.
+    A key has one list unless its values do not fit into `max_list`; then its parts are consecutive
+    ranges of the sorted values, of that size but for the last, numbered from 0. The lists of a key
+    one after the other are its sorted domain, at any size.
     """
     pairs = df.select(*keys, value).na.drop(subset=[*keys, value]).distinct()
+    ranked = pairs.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1)
     sizes = pairs.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / max_list).cast("int").alias("parts"))
-    split = pairs.join(sizes, keys).withColumn(
-        "part", F.pmod(F.xxhash64(value), F.col("parts")).cast("int")
-    )
+    split = ranked.join(sizes, keys).withColumn("part", F.floor(F.col("_rank") / max_list).cast("int"))
     return split.groupBy(*keys, "part", "parts").agg(F.sort_array(F.collect_list(value)).alias("values"))
 
 
+def domain_whole(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, values): the sorted distinct values of each key as one list, at any size."""
+    found = df.select(*keys, value).na.drop(subset=[*keys, value]).distinct()
+    return found.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("values"))
+
+
 def labels(values: Column) -> Column:
     """A list of numbers as texts."""
     return F.transform(values, lambda v: v.cast("string"))

@@ -26,8 +26,8 @@ FROM part GROUP BY p_brand
 """)
 def domain_by_brand(spark, sf_dir):
     """Brand to its sorted distinct models."""
-    lists = lookups.domain_lists(table(spark, sf_dir, "part"), ["p_brand"], "p_name")
-    return lists.select("p_brand", "part", "parts", F.array_join("values", "|").alias("models"))
+    lists = lookups.domain_whole(table(spark, sf_dir, "part"), ["p_brand"], "p_name")
+    return lists.select("p_brand", F.lit(0).alias("part"), F.lit(1).alias("parts"), F.array_join("values", "|").alias("models"))
 
 
 @query("""
@@ -37,7 +37,7 @@ FROM part GROUP BY p_brand, p_name
 def domain_by_two(spark, sf_dir):
     """(Brand, model) to its sorted distinct volumes, as texts."""
     part = table(spark, sf_dir, "part").withColumn("volume", F.col("p_size") / 10)
-    lists = lookups.domain_lists(part, ["p_brand", "p_name"], "volume")
+    lists = lookups.domain_whole(part, ["p_brand", "p_name"], "volume")
     return lists.select("p_brand", "p_name", F.array_join(lookups.labels(F.col("values")), "|").alias("volumes"))
 
 

@@ -11,6 +11,7 @@ from forecourt.operators.append import append_new
 from forecourt.operators.columns import convert_volume, evaluate_once
 from forecourt.operators.page_budget import pages_taken
 from forecourt.params import Budget
+from forecourt.queries import lookups as queries
 from forecourt.schema import CLEAN
 from forecourt.sources.selection import select_listings, select_or_drop_brand, select_or_drop_range
 from forecourt.sources.tables import null_tokens_to_null, read_clean_or_empty, read_csv, read_table
@@ -139,6 +140,23 @@ def test_long_domain_list_is_split_and_whole(spark):
     assert sorted(v for r in parts for v in r["values"]) == sorted(map(str, range(1000)))
 
 
+def test_parts_of_a_long_domain_are_ranges(spark):
+    df = spark.range(1050).select(F.lit("hot").alias("brand"), F.col("id").alias("model"))
+    parts = sorted(lookups.domain_lists(df, ["brand"], "model", max_list=100).collect(), key=lambda r: r.part)
+    assert [v for r in parts for v in r["values"]] == list(range(1050)) and {r.parts for r in parts} == {11}
+
+
+def test_queries_give_a_long_domain_in_one_row(spark, tmp_path):
+    ids = spark.range(10_500)
+    part = ids.select(F.lit("b").alias("p_brand"), F.lit("n").alias("p_name"), F.col("id").cast("int").alias("p_size"))
+    part = part.union(ids.select(F.lit("c"), F.format_string("m%05d", "id"), F.lit(10)))
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    two = queries.domain_by_two(spark, str(tmp_path)).filter("p_brand = 'b'").collect()
+    assert [r.volumes.split("|") for r in two] == [[str(i / 10) for i in range(10_500)]]
+    one = queries.domain_by_brand(spark, str(tmp_path)).filter("p_brand = 'c'").collect()
+    assert [(r.part, r.parts, r.models.split("|")) for r in one] == [(0, 1, [f"m{i:05d}" for i in range(10_500)])]
+
+
 def test_null_order_of_prices(spark):
     df = spark.createDataFrame([("3",), (None,), ("Cenanadotaz",), ("20",), ("1",)], "price string")
     prices = [r[0] for r in lookups.sorted_by_price(df).collect()]
