@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from forecourt.functions.fields import absolute_url
@@ -14,8 +16,13 @@ _HIDDEN = r"(?is)<!--.*?-->|<script(?=[\s/>]).*?</script\s*>|<style(?=[\s/>]).*?
 _ANCHOR = r"""(?is)<a(?=[\s/>])((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>"""
 _NAME = r"""([^\s=/"'>]+)(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
 _VALUE = r"""[^\s=/"'>]+(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
-# The character references that addresses use.
-_REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+# A character reference as attributes hold them, or text between references.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*(?:;|(?![A-Za-z0-9=;])))"
+_PIECES = f"({_REFERENCE}|[^&]+|&)"
+# The standard's names, the usual ones first, as a lookup goes from the front; and what the
+# numbers 128 to 159 stand for.
+_NAMES = {name: html5[name] for name in ("amp;", "quot;", "lt;", "gt;", "apos;")} | html5
+_WINDOWS = "".join(bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 160))
 
 
 def anchors(html: Column) -> Column:
@@ -36,12 +43,43 @@ def attributes(tag: Column) -> Column:
     )
 
 
+def _character(code: Column) -> Column:
+    """The character of a number; the replacement character if it has none."""
+    none = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    valid = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return (
+        F.when(none, F.lit("\ufffd"))
+        .when(code.between(128, 159), F.substring(F.lit(_WINDOWS), code.cast("int") - 127, F.lit(1)))
+        .otherwise(valid)
+    )
+
+
+def unescaped(value: Column) -> Column:
+    """All character references of an attribute's value as characters, each once."""
+    names = F.str_to_map(F.lit("\x01".join(f"{n}\x02{c}" for n, c in _NAMES.items())), F.lit("\x01"), F.lit("\x02"))
+
+    def number(digits: Column, base: int) -> Column:
+        digits = F.regexp_replace(digits, "^0+(?=.)", "")
+        return F.when(F.length(digits) > 7, F.lit(0x110000).cast("long")).otherwise(F.conv(digits, base, 10).cast("long"))
+
+    def spell(piece: Column) -> Column:
+        decimal = F.regexp_extract(piece, "^&#([0-9]+);?$", 1)
+        hexadecimal = F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]+);?$", 1)
+        return (
+            F.when(~piece.rlike(f"^{_REFERENCE}$"), piece)
+            .when(decimal != "", _character(number(decimal, 10)))
+            .when(hexadecimal != "", _character(number(hexadecimal, 16)))
+            .otherwise(F.coalesce(F.try_element_at(names, F.substring(piece, 2, 64)), piece))
+        )
+
+    pieces = F.regexp_extract_all(value, F.lit(_PIECES), F.lit(1))
+    return F.when(value.contains("&"), F.array_join(F.transform(pieces, spell), "")).otherwise(value)
+
+
 def attribute(pairs: Column, name: str) -> Column:
     """Value of an attribute; the last one counts, null if absent."""
     value = F.try_element_at(F.filter(pairs, lambda p: p["n"] == name), F.lit(-1))["v"]
-    for reference, char in _REFERENCES.items():
-        value = F.replace(value, F.lit(reference), F.lit(char))
-    return value
+    return unescaped(value)
 
 
 def _has_link_class(classes: Column, link_class: str) -> Column:

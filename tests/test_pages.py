@@ -1,5 +1,7 @@
 """Extraction from hand-written pages, one page per reason for rejection."""
 
+import html
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pytest
@@ -12,7 +14,7 @@ from forecourt.params import CleanRules
 from forecourt.schema import RAW_A, RAW_B
 from forecourt.sources.detail_pages import accepted, extract_a, extract_b, rejected
 from forecourt.sources.html_outline import first, html_outline, inside, text_of, with_tag
-from forecourt.sources.listing_links import distinct_links, page_addresses, page_links
+from forecourt.sources.listing_links import distinct_links, page_addresses, page_links, unescaped
 
 PAGE_A = """<div class="car_detail2__h1"><h1>Škoda Octavia 2.0 TDI</h1></div>
 <ul><li data-toggle="popover"><strong>Rok</strong><span> 2018 </span></li>
@@ -158,6 +160,16 @@ def test_links_like_the_parser(spark, site):
     assert sorted(tuple(r) for r in distinct) == sorted(set(expected))
 
 
+def test_references_in_attributes_like_the_standard(evaluate):
+    named = [f"/a&{name}z" for name in html5 if name.endswith(";")]
+    codes = [*range(0x20, 0x7F), *range(0x80, 0xA0), 0xE9, 0x20AC, 0x4E2D, 0x1F600, 0xD800, 0x110000, 99999999999]
+    numbers = [f"/{prefix}{form}{tail}" for c in codes for prefix, form in (("&#", c), ("&#x", f"{c:x}"), ("&#X00", f"{c:X}")) for tail in (";", " z")]
+    others = ["/a?b=1&c=2", "/a&amp;lt;", "/a&amp;#38;", "&", "&&amp;&", "&unknown;", "/x&#x2F;&eacute;&#38;y", "&#;", "&#x;", "", None]
+    values = [*named, *numbers, *others]
+    assert evaluate(unescaped, values) == [v and html.unescape(v) for v in values]
+    assert evaluate(unescaped, ["/a?x=1&copy=2", "/a?x=1&copyz"]) == ["/a?x=1&copy=2", "/a?x=1&copyz"]
+
+
 def test_links_of_long_page(spark):
     html = "<a class='car_item' href='/1'>" + "<a title='" + "x" * 300_000 + "' href='/2' class=car_item>" + "<p>" * 100_000
     pages = spark.createDataFrame([(1, html)], "page int, html string")
