@@ -6,6 +6,13 @@ from pyspark.sql import Column, functions as F
 
 from forecourt.functions.numbers import digits_only
 from forecourt.functions.text import SPACE_RANGES, title_case, trim_all
+from forecourt.params import DATED_YEARS, PLAIN_YEARS
+
+
+# The patterns of power, engine size and volume in texts.
+POWER = r"(\d+)\s*kW"
+LITRES = r"(\d+(?:[.,]\d+)?)"
+CM3 = r"(\d[\d\s]*)(?=\s*ccm)"
 
 
 def absent_if_empty(text: Column) -> Column:
@@ -18,18 +25,18 @@ def first_group(text: Column, pattern: str) -> Column:
 
 
 def power_kw(text: Column) -> Column:
-    return first_group(text, r"(\d+)\s*kW")
+    return first_group(text, POWER)
 
 
 def engine_litres(text: Column) -> Column:
     """First number in the text, with a decimal point or comma, spelled as a double."""
-    number = F.replace(first_group(text, r"(\d+(?:[.,]\d+)?)"), F.lit(","), F.lit("."))
+    number = F.replace(first_group(text, LITRES), F.lit(","), F.lit("."))
     return number.try_cast("double").cast("string")
 
 
 def engine_cm3(text: Column) -> Column:
     """Digit groups in front of `ccm`, joined."""
-    found = first_group(F.translate(text, "\xa0", " "), r"(\d[\d\s]*)(?=\s*ccm)")
+    found = first_group(F.translate(text, "\xa0", " "), CM3)
     return F.regexp_replace(found, f"[{SPACE_RANGES}]+", "").try_cast("bigint").cast("string")
 
 
@@ -76,25 +83,29 @@ def _subtitle_parts(text: Column, dropped: tuple[str, ...]) -> Column:
     return F.transform(F.split(trim_all(text), ","), trim_all)
 
 
-def _part_year(part: Column) -> Column:
-    """The year in `m/yyyy` (1901 to 2024) or in plain digits (1901 to 2099), else null."""
+def _part_year(part: Column, dated_years: tuple[int, int], plain_years: tuple[int, int]) -> Column:
+    """The year in `m/yyyy` or in plain digits, strictly between the years given, else null."""
     halves = F.split(part, "/")
     written = trim_all(F.get(halves, F.lit(1)))
     dated = F.when((F.size(halves) == 2) & written.rlike(r"^\+?\p{Nd}+$"), written.try_cast("bigint"))
     plain = F.when(part.rlike(r"^\p{Nd}+$"), part.try_cast("bigint"))
-    return F.when(part.contains("/"), F.when((dated > 1900) & (dated < 2025), dated)).otherwise(
-        F.when((plain > 1900) & (plain < 2100), plain)
-    )
+
+    def between(year: Column, ends: tuple[int, int]) -> Column:
+        return F.when((year > ends[0]) & (year < ends[1]), year)
+
+    return F.when(part.contains("/"), between(dated, dated_years)).otherwise(between(plain, plain_years))
 
 
-def subtitle_fields(text: Column, dropped: tuple[str, ...]) -> Column:
+def subtitle_fields(
+    text: Column, dropped: tuple[str, ...], dated_years: tuple[int, int] = DATED_YEARS, plain_years: tuple[int, int] = PLAIN_YEARS
+) -> Column:
     """struct(year, mileage_km) of a comma list such as `5/2018, 150 000 km`.
 
     The first part that holds a year gives it. The first part with `km` and a digit gives the
     mileage, but a part with a slash is looked at for it only after the year's part.
     """
     parts = _subtitle_parts(text, dropped)
-    dated = F.transform(parts, lambda part, at: F.struct(_part_year(part).alias("year"), at.alias("at")))
+    dated = F.transform(parts, lambda part, at: F.struct(_part_year(part, dated_years, plain_years).alias("year"), at.alias("at")))
     first_dated = F.get(F.filter(dated, lambda d: d["year"].isNotNull()), F.lit(0))
 
     def fields(found: Column) -> Column:

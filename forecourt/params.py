@@ -83,6 +83,10 @@ class DetailA:
     engine: str = "motor"
 
 
+# Years that a subtitle may show as `m/yyyy`, and as plain digits; the ends do not count.
+DATED_YEARS, PLAIN_YEARS = (1900, 2025), (1900, 2100)
+
+
 @dataclass(frozen=True)
 class DetailB:
     """Selectors and labels of a detail page of source B (fixed values)."""
@@ -99,6 +103,8 @@ class DetailB:
     transmission: str = "Převodovka"
     power: str = "Výkon"
     engine: str = "Objem"
+    dated_years: tuple[int, int] = DATED_YEARS
+    plain_years: tuple[int, int] = PLAIN_YEARS
 
 
 def bounded(default, least=None, above: str | None = None):

@@ -9,7 +9,6 @@ from forecourt.functions.text import (
     canonical_name,
     fuel_class,
     normalise_text,
-    normalised_name,
     transmission_class,
 )
 from forecourt.operators.columns import age, evaluate_once
@@ -35,8 +34,8 @@ def plausible(df: DataFrame, rules: CleanRules) -> DataFrame:
     )
 
 
-def _final_names(rules) -> tuple:
-    return tuple((parts, normalised_name(name)) for parts, name in rules)
+def final_names(rules) -> tuple:
+    return tuple((parts, normalise_text(F.lit(name))) for parts, name in rules)
 
 
 def clean_listings(merged: DataFrame, rules: CleanRules = CleanRules()) -> DataFrame:
@@ -52,8 +51,8 @@ def clean_listings(merged: DataFrame, rules: CleanRules = CleanRules()) -> DataF
         "brand": canonical_name(F.col("brand"), rules.brand_prefixes),
         "model": normalise_text(F.col("model")),
         # Classes carry their final spelling from the start.
-        "transmission": transmission_class(F.col("transmission"), _final_names(rules.transmission_rules)),
-        "fuel": fuel_class(F.col("fuel"), _final_names(rules.fuel_rules)),
+        "transmission": transmission_class(F.col("transmission"), final_names(rules.transmission_rules)),
+        "fuel": fuel_class(F.col("fuel"), final_names(rules.fuel_rules)),
     })
     complete = require(named, ["brand", "model", "transmission", "fuel"])
     if rules.excluded_pair:

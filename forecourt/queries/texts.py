@@ -18,12 +18,19 @@ def accents_stripped(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.strip_accents(F.col("text")).alias("folded"))
 
 
-@query(f"SELECT doc_id, {sql.fold('text')} AS folded FROM documents")
+# A syllable of Hangul by doc_id, a letter of another plane, a ligature of 18 letters, and the text.
+_SCRIPTS = "concat(decode(unhex(hex(44032 + doc_id % 11172)), 'UTF-16BE'), '\U0001d49c\ufdfa ', text)"
+
+
+@query(f"""
+SELECT doc_id, concat(chr(CAST(4352 + s // 588 AS INTEGER)), chr(CAST(4449 + s % 588 // 28 AS INTEGER)),
+    CASE WHEN s % 28 > 0 THEN chr(CAST(4519 + s % 28 AS INTEGER)) ELSE '' END,
+    'A\u0635\u0644\u0649 \u0627\u0644\u0644\u0647 \u0639\u0644\u064a\u0647 \u0648\u0633\u0644\u0645 ', {sql.fold('text')}) AS folded
+FROM (SELECT doc_id, text, doc_id % 11172 AS s FROM documents)
+""")
 def accents_stripped_any_script(spark, sf_dir):
-    """The variant for all scripts, through Arrow."""
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", text.strip_accents_any_script(F.col("text")).alias("folded")
-    )
+    """Whole texts behind letters of other scripts."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.strip_accents(F.expr(_SCRIPTS)).alias("folded"))
 
 
 @query(f"SELECT doc_id, {sql.squeeze('text')} AS squeezed, replace(text, '-', '') AS unhyphened FROM documents")
