@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_LIST = 10_000
+from forecourt.operators.numbering import numbered
 
 
 def domain(df: DataFrame, *columns: str) -> DataFrame:
@@ -23,20 +23,6 @@ def lookup(df: DataFrame, **equals) -> DataFrame:
     return df.filter(kept)
 
 
-def domain_lists(df: DataFrame, keys: list[str], value: str, max_list: int = MAX_LIST) -> DataFrame:
-    """(keys, part, parts, values): the sorted distinct values of each key as lists.
-
-    A key has one list unless its values do not fit into `max_list`; then its parts are consecutive
-    ranges of the sorted values, of that size but for the last, numbered from 0. The lists of a key
-    one after the other are its sorted domain, at any size.
-    """
-    pairs = df.select(*keys, value).na.drop(subset=[*keys, value]).distinct()
-    ranked = pairs.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1)
-    sizes = pairs.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / max_list).cast("int").alias("parts"))
-    split = ranked.join(sizes, keys).withColumn("part", F.floor(F.col("_rank") / max_list).cast("int"))
-    return split.groupBy(*keys, "part", "parts").agg(F.sort_array(F.collect_list(value)).alias("values"))
-
-
 def domain_whole(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, values): the sorted distinct values of each key as one list, at any size."""
     found = df.select(*keys, value).na.drop(subset=[*keys, value]).distinct()
@@ -58,8 +44,23 @@ def preview(df: DataFrame, order: list, n: int = 5) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def sorted_by_price(df: DataFrame) -> DataFrame:
-    """Ascending price, unreadable prices last. For the last step before a sink."""
+def price_order(df: DataFrame, ties: list[str] | None = None) -> list[Column]:
+    """Ascending price, unreadable and missing prices last, then the columns `ties`."""
     price = df.schema["price"].dataType
     key = F.col("price").try_cast("double") if price.typeName() == "string" else F.col("price")
-    return df.orderBy(key.asc_nulls_last())
+    return [key.asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in ties or []]]
+
+
+def sorted_by_price(df: DataFrame) -> DataFrame:
+    """Rows by `price_order`. For the last step before a sink."""
+    return df.orderBy(*price_order(df))
+
+
+def export_by_price(df: DataFrame, path: str, ties: list[str]) -> None:
+    """Parquet part files in price order, one behind the other, with each row's `position` from 1.
+
+    The parts are ranges of positions, so a price that very many rows share is split among files.
+    Rows that are equal in price and `ties` come in any order.
+    """
+    placed = numbered(df, price_order(df, ties)).withColumn("position", F.col("position") + 1)
+    placed.repartitionByRange("position").sortWithinPartitions("position").write.mode("overwrite").parquet(path)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from forecourt.functions.numbers import money_text, to_number
+from forecourt.operators.encoder import encode, unknown_fields
+from forecourt.operators.training import PriceModel
 from forecourt.params import RequestRules
 from forecourt.schema import REQUEST_NUMBERS, TEXT_COLUMNS
 
@@ -65,30 +65,32 @@ def guarded(df: DataFrame, prediction: str = "prediction") -> DataFrame:
     )
 
 
-def categories_known(model: PipelineModel) -> Column:
-    """True where all categories got a code. Unknown ones get the code behind the last label."""
-    indexer = next(s for s in model.stages if isinstance(s, StringIndexerModel))
-    known = F.lit(True)
-    for column, labels in zip(indexer.getOutputCols(), indexer.labelsArray):
-        known = known & (F.col(column) < len(labels))
-    return known
+def check_requests(requests: DataFrame, codes: DataFrame, rules: RequestRules = RequestRules()) -> DataFrame:
+    """Add numbers, codes, `unknown` (the fields whose category has no code) and `status`.
 
+    Categories are looked up in the code table by joins, so it may have any size. An unknown
+    category counts like a number that cannot be read.
+    """
+    coded = encode(with_request_numbers(requests), codes, TEXT_COLUMNS)
+    return _with_status(coded, rules)
+
+
+def _with_status(coded: DataFrame, rules: RequestRules) -> DataFrame:
+    named = coded.withColumn("unknown", unknown_fields(TEXT_COLUMNS))
+    return named.withColumn("status", request_status(rules, F.col("unknown") == ""))
 
-def score(requests: DataFrame, model: PipelineModel, rules: RequestRules = RequestRules()) -> DataFrame:
-    """Requests with status, price, price text and the features before and after scaling.
 
-    One map-only pass, so a streaming table of requests works as well. The feature columns are
-    null unless the request passed its checks; append the result to keep an audit.
+def score(requests: DataFrame, model: PriceModel, rules: RequestRules = RequestRules()) -> DataFrame:
+    """Requests with status, unknown categories, price, price text and features before and after scaling.
+
+    Works on a streaming table of requests as well. The feature columns are null unless the request
+    passed its checks; they stay when the prediction failed or was negative, so that the audit shows
+    what the model saw.
     """
-    kept = requests.columns
-    predicted = model.transform(with_request_numbers(requests))
-    checked = guarded(predicted.withColumn("status", request_status(rules, categories_known(model))))
-    passed = F.col("status").isin(OK, NEGATIVE_PREDICTION)
-    return checked.select(
-        *kept,
-        "status",
-        F.when(passed, vector_to_array("raw_features")).alias("raw_features"),
-        F.when(passed, vector_to_array("features")).alias("features"),
-        "price",
-        "price_text",
-    )
+    kept = [c for c in requests.columns if c not in ("status", "unknown", "raw_features", "features", "price", "price_text")]
+    predicted = _with_status(model.transform(with_request_numbers(requests.select(*kept))), rules)
+    passed = F.col("status") == OK
+    shown = predicted.withColumns({
+        name: F.when(passed, vector_to_array(name)) for name in ("raw_features", "features")
+    })
+    return guarded(shown).select(*kept, "status", "unknown", "raw_features", "features", "price", "price_text")

@@ -6,12 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from forecourt.operators.encoder import encode, fit_codes, read_codes
 from forecourt.schema import REQUEST_NUMBERS, TEXT_COLUMNS
-from forecourt.session import shared_dir
+from forecourt.session import scratch_path, shared_dir
 
 CODES = [f"{c}_code" for c in TEXT_COLUMNS]
 NUMBERS = [f"{c}_num" for c in REQUEST_NUMBERS]
@@ -25,15 +26,21 @@ class ModelParams:
     step: float = 0.1
     max_bins: int = 128
     seed: int = 42
-    max_labels: int = 1_000_000  # the driver holds the labels of each text column
 
 
-def label_encoder() -> StringIndexer:
-    """Codes by alphabet from 0; an unknown value gets the next free code."""
-    return StringIndexer(
-        inputCols=TEXT_COLUMNS, outputCols=[f"{c}_index" for c in TEXT_COLUMNS],
-        stringOrderType="alphabetAsc", handleInvalid="keep",
-    )
+@dataclass(frozen=True)
+class PriceModel:
+    """The code table, and the fitted stages that take codes and numbers to a prediction."""
+
+    codes: DataFrame
+    stages: PipelineModel
+
+    def transform(self, numbered: DataFrame) -> DataFrame:
+        """Add codes, features and prediction to rows with `<field>_num` columns.
+
+        A value without a code makes its features and prediction missing, not the job fail.
+        """
+        return self.stages.transform(encode(numbered, self.codes, TEXT_COLUMNS))
 
 
 def scaler() -> list:
@@ -58,11 +65,8 @@ def _regressor(params: ModelParams, label: str):
 
 
 def price_stages(params: ModelParams, label: str = "price") -> Pipeline:
-    # An arithmetic copy of a code drops the mark "categorical": trees take codes as plain numbers.
-    plain = ", ".join(f"{c}_index + 0.0D AS {c}_code" for c in TEXT_COLUMNS)
+    # Codes are plain numbers to the trees: nothing marks them as categories.
     return Pipeline(stages=[
-        label_encoder(),
-        SQLTransformer(statement=f"SELECT *, {plain} FROM __THIS__"),
         *scaler(),
         VectorAssembler(inputCols=[*CODES, "numbers"], outputCol="raw_features", handleInvalid="keep"),
         VectorAssembler(inputCols=[*CODES, "scaled_numbers"], outputCol="features", handleInvalid="keep"),
@@ -70,22 +74,21 @@ def price_stages(params: ModelParams, label: str = "price") -> Pipeline:
     ])
 
 
-def _check_labels(clean: DataFrame, limit: int) -> None:
-    counts = clean.agg(*[F.approx_count_distinct(c).alias(c) for c in TEXT_COLUMNS]).first()
-    too_many = [c for c in TEXT_COLUMNS if counts[c] > limit]
-    if too_many:
-        raise ValueError(f"more than {limit} labels in {', '.join(too_many)}; group rare values first")
-
+def train(clean: DataFrame, params: ModelParams = ModelParams(), label: str = "price") -> PriceModel:
+    """Fit encoder, scaler and regressor on a clean table.
 
-def train(clean: DataFrame, params: ModelParams = ModelParams(), label: str = "price") -> PipelineModel:
-    """Fit encoder, scaler and regressor on a clean table."""
-    shared_dir(clean.sparkSession)  # boosting cuts its lineage there
-    _check_labels(clean, params.max_labels)
+    The encoded rows are written, so that the passes of the trees do not join again.
+    """
+    spark = clean.sparkSession
+    shared_dir(spark)  # boosting cuts its lineage there
     numbered = clean.select(
         *TEXT_COLUMNS, *[F.col(c).cast("double").alias(f"{c}_num") for c in REQUEST_NUMBERS],
         F.col(label).cast("double").alias(label),
     )
-    return price_stages(params, label).fit(numbered)
+    codes = fit_codes(numbered, TEXT_COLUMNS)
+    path = scratch_path(spark, "encoded")
+    encode(numbered, codes, TEXT_COLUMNS).drop(*TEXT_COLUMNS).write.parquet(path)
+    return PriceModel(codes, price_stages(params, label).fit(spark.read.parquet(path)))
 
 
 def split(df: DataFrame, columns: list[str], share: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -94,7 +97,7 @@ def split(df: DataFrame, columns: list[str], share: int = 80) -> tuple[DataFrame
     return df.filter(bucket < share), df.filter(bucket >= share)
 
 
-def evaluate(model: PipelineModel, clean: DataFrame, label: str = "price") -> dict[str, float]:
+def evaluate(model: PriceModel, clean: DataFrame, label: str = "price") -> dict[str, float]:
     numbered = clean.withColumns({f"{c}_num": F.col(c).cast("double") for c in REQUEST_NUMBERS})
     predicted = model.transform(numbered).select(label, "prediction").persist()
     try:
@@ -106,9 +109,11 @@ def evaluate(model: PipelineModel, clean: DataFrame, label: str = "price") -> di
         predicted.unpersist()
 
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save(model: PriceModel, path: str) -> None:
+    """The stages and the code table side by side; the table is written by Spark's tasks."""
+    model.stages.write().overwrite().save(f"{path}/stages")
+    model.codes.write.mode("overwrite").partitionBy("field").parquet(f"{path}/codes")
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load(spark: SparkSession, path: str) -> PriceModel:
+    return PriceModel(read_codes(spark, f"{path}/codes"), PipelineModel.load(f"{path}/stages"))

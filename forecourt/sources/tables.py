@@ -55,16 +55,28 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+def read_table_or_none(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
     """None if there is no table at the path yet; every other fault fails."""
     try:
-        return spark.read.parquet(path)
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
     except AnalysisException as fault:
         if fault.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
 
+def missing_sources(spark: SparkSession, *paths: str) -> list[str]:
+    """The paths at which there is no table."""
+    return [path for path in paths if read_table_or_none(spark, path) is None]
+
+
+def require_sources(spark: SparkSession, *paths: str) -> list[DataFrame]:
+    """The tables at all paths; fails before any work, naming every path that has none."""
+    if missing := missing_sources(spark, *paths):
+        raise FileNotFoundError(f"no table at {', '.join(missing)}")
+    return [read_table(spark, path) for path in paths]
+
+
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from forecourt.operators.append import append_new
+from forecourt.operators.audit import write_audit
 from forecourt.operators.scoring import score
+from forecourt.operators.training import PriceModel
 from forecourt.params import RequestRules
 
 
@@ -35,15 +36,17 @@ def append_stream(stream: DataFrame, target: str, keys: list[str], checkpoint: s
 
 
 def score_stream(
-    requests: DataFrame, model: PipelineModel, target: str, checkpoint: str, rules: RequestRules = RequestRules()
+    requests: DataFrame, model: PriceModel, target: str, checkpoint: str, rules: RequestRules = RequestRules()
 ) -> StreamingQuery:
-    """Score a stream of requests and append the audit table."""
+    """Score a stream of requests into the audit table; a batch that runs again replaces its own rows."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        stored = batch.sparkSession.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0]
+        write_audit(score(batch, model, rules), target, batch_id, writer=json.loads(stored)["id"])
+
     return (
-        score(requests, model, rules)
-        .writeStream.format("parquet")
-        .option("path", target)
+        requests.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

@@ -7,14 +7,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from forecourt.operators import distinct, filters, lookups
-from forecourt.operators.append import append_new
+from forecourt.operators.append import DIGEST, append_new, key_digest, possible_folders, stored_digests, unknown_digests
 from forecourt.operators.columns import convert_volume, evaluate_once
+from forecourt.operators.numbering import numbered
 from forecourt.operators.page_budget import pages_taken
 from forecourt.params import Budget
 from forecourt.queries import lookups as queries
 from forecourt.schema import CLEAN
 from forecourt.sources.selection import select_listings, select_or_drop_brand, select_or_drop_range
-from forecourt.sources.tables import null_tokens_to_null, read_clean_or_empty, read_csv, read_table
+from forecourt.sources.tables import missing_sources, null_tokens_to_null, read_clean_or_empty, read_csv, read_table, require_sources
 from forecourt.streaming.append_stream import append_stream
 
 
@@ -85,6 +86,55 @@ def test_append(spark, tmp_path):
         append_new(more, target, ["k", "n"], 3, "a/b")
 
 
+@pytest.mark.parametrize("small_batch", [0, 100_000])
+def test_append_of_large_and_small_batches(spark, tmp_path, small_batch):
+    target = str(tmp_path / "target")
+    batches = [[(f"k{i}", i % 3 or None) for i in range(low, low + 40)] for low in (0, 20, 20, 0, 70)]
+    added = [
+        append_new(spark.createDataFrame(rows, "k string, n int"), target, ["n", "k"], i, "w", small_batch).count()
+        for i, rows in enumerate(batches)
+    ]
+    assert added == [40, 20, 0, 0, 40]
+    assert values(spark.read.parquet(target).select("k", "n")) == sorted({r for rows in batches for r in rows}, key=str)
+
+
+def test_keys_are_not_mixed_up(spark):
+    rows = [("a", "b"), ("a,1:b", None), (None, "a"), ("a", None), ("-", None), (None, None), ("", None), ("ab", ""), ("a", "b")]
+    df = spark.createDataFrame(rows, "k string, n string")
+    assert df.select(key_digest(["k", "n"])).distinct().count() == len(set(rows))
+
+
+def test_small_batch_reads_only_folders_that_may_hold_it(spark, tmp_path):
+    target = str(tmp_path / "target")
+    for i in range(4):
+        append_new(spark.range(i * 3000, (i + 1) * 3000).select(F.col("id").cast("string").alias("k")), target, ["k"], i, "1")
+    asked = spark.createDataFrame([("3500",), ("3600",), ("no",)], "k string").withColumn(DIGEST, key_digest(["k"]))
+    folders = possible_folders(spark, target, asked)
+    assert folders == [("1", 1)]
+    stored = stored_digests(spark, target, folders)
+    assert stored.count() == 3000 and all("batch_id=1" in f for f in stored.inputFiles())
+    path = str(tmp_path / "asked")
+    asked.write.parquet(path)
+    fresh = unknown_digests(spark.read.parquet(path), stored, small=True)
+    assert [r.k for r in fresh.collect()] == ["no"]
+    # The target's digests, and no other column, are scanned beside a broadcast and not shuffled before it.
+    plan = unknown_digests(spark.read.parquet(path), stored, small=True)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("LeftSemi"):].split("BroadcastExchange")[0]
+    assert "Exchange hashpartitioning" not in below and "ReadSchema: struct<key_digest:binary>" in below
+
+
+def test_filters_admit_every_stored_key(spark, tmp_path):
+    target = str(tmp_path / "target")
+    rows = spark.range(20_000).select("id")
+    append_new(rows, target, ["id"], 0, "w")
+    append_new(spark.range(20_000, 20_010), target, ["id"], 1, "w")
+    for low in range(0, 20_000, 4_000):
+        one = spark.range(low, low + 1).withColumn(DIGEST, key_digest(["id"]))
+        assert ("w", 0) in possible_folders(spark, target, one)
+    absent = spark.range(10**6, 10**6 + 300).withColumn(DIGEST, key_digest(["id"]))
+    assert possible_folders(spark, target, absent) == []
+
+
 def test_stream_equals_batch(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     rows = [(f"k{i % 7}", None if i % 3 else i % 5) for i in range(40)]
@@ -95,7 +145,7 @@ def test_stream_equals_batch(spark, tmp_path):
         append_stream(stream, target, ["k", "n"], str(tmp_path / "offsets")).awaitTermination()
     stored = spark.read.parquet(target)
     assert stored.select("batch_id").distinct().count() > 1
-    assert values(stored.drop("batch_id", "writer")) == values(distinct.distinct_rows(df))
+    assert values(stored.select("k", "n")) == values(distinct.distinct_rows(df))
 
 
 def test_distinct_operators(spark):
@@ -125,27 +175,14 @@ def test_lookups(spark):
     )
     assert [r[0] for r in lookups.domain(df, "brand").collect()] == ["A", "S"]
     assert [tuple(r) for r in lookups.domain(df, "brand", "model").collect()] == [("A", "Q"), ("S", "F"), ("S", "O")]
-    lists = lookups.domain_lists(df, ["brand"], "model").collect()
-    assert sorted((r.brand, r.part, r.parts, r["values"]) for r in lists) == [("A", 0, 1, ["Q"]), ("S", 0, 1, ["F", "O"])]
-    volumes = lookups.domain_lists(lookups.lookup(df, brand="S", model="O"), ["brand", "model"], "volume_l")
+    lists = lookups.domain_whole(df, ["brand"], "model").collect()
+    assert sorted((r.brand, r["values"]) for r in lists) == [("A", ["Q"]), ("S", ["F", "O"])]
+    volumes = lookups.domain_whole(lookups.lookup(df, brand="S", model="O"), ["brand", "model"], "volume_l")
     assert volumes.select(lookups.labels(F.col("values"))).first()[0] == ["1.6", "2.0"]
     assert [tuple(r) for r in lookups.top_values(df, "model", 2).collect()] == [("O", 3), ("F", 1)]
     assert [r[0] for r in lookups.preview(df, [F.col("volume_l").desc()], 2).collect()] == ["S", "S"]
 
 
-def test_long_domain_list_is_split_and_whole(spark):
-    df = spark.range(1000).select(F.lit("hot").alias("brand"), F.col("id").cast("string").alias("model"))
-    parts = lookups.domain_lists(df, ["brand"], "model", max_list=100).collect()
-    assert len(parts) == 10 and max(len(r["values"]) for r in parts) < 200
-    assert sorted(v for r in parts for v in r["values"]) == sorted(map(str, range(1000)))
-
-
-def test_parts_of_a_long_domain_are_ranges(spark):
-    df = spark.range(1050).select(F.lit("hot").alias("brand"), F.col("id").alias("model"))
-    parts = sorted(lookups.domain_lists(df, ["brand"], "model", max_list=100).collect(), key=lambda r: r.part)
-    assert [v for r in parts for v in r["values"]] == list(range(1050)) and {r.parts for r in parts} == {11}
-
-
 def test_queries_give_a_long_domain_in_one_row(spark, tmp_path):
     ids = spark.range(10_500)
     part = ids.select(F.lit("b").alias("p_brand"), F.lit("n").alias("p_name"), F.col("id").cast("int").alias("p_size"))
@@ -154,7 +191,7 @@ def test_queries_give_a_long_domain_in_one_row(spark, tmp_path):
     two = queries.domain_by_two(spark, str(tmp_path)).filter("p_brand = 'b'").collect()
     assert [r.volumes.split("|") for r in two] == [[str(i / 10) for i in range(10_500)]]
     one = queries.domain_by_brand(spark, str(tmp_path)).filter("p_brand = 'c'").collect()
-    assert [(r.part, r.parts, r.models.split("|")) for r in one] == [(0, 1, [f"m{i:05d}" for i in range(10_500)])]
+    assert [r.models.split("|") for r in one] == [[f"m{i:05d}" for i in range(10_500)]]
 
 
 def test_null_order_of_prices(spark):
@@ -163,6 +200,43 @@ def test_null_order_of_prices(spark):
     assert prices[:3] == ["1", "3", "20"] and set(prices[3:]) == {None, "Cenanadotaz"}
 
 
+def test_export_by_price(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["250000", "250000", "x", None, str(rng.randrange(10**6)), "1e3"])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, price string").repartition(6)
+    path, coalesce = str(tmp_path / "out"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        lookups.export_by_price(df, path, ["id"])
+    finally:
+        spark.conf.unset(coalesce)
+
+    def key(row):
+        readable = row[1] not in (None, "x")
+        return (not readable, float(row[1]) if readable else 0.0, row[0])
+
+    files = sorted(tmp_path.glob("out/part-*.parquet"))
+    found = [tuple(r) for f in files for r in spark.read.parquet(str(f)).orderBy("position").collect()]
+    assert len(files) > 1 and found == [(*row, at + 1) for at, row in enumerate(sorted(rows, key=key))]
+    lookups.export_by_price(df.limit(0), path, ["id"])
+    assert spark.read.parquet(path).count() == 0
+
+
+def test_numbers_within_groups(spark):
+    rows = [(g, n) for g, size in (("a", 300), ("b", 1), ("c", 40)) for n in range(size)]
+    out = numbered(spark.createDataFrame(rows, "g string, n int").repartition(5), ["g", F.col("n").desc()], ["g"], "k").collect()
+    sizes = {"a": 300, "b": 1, "c": 40}
+    assert len(out) == len(rows) and all(r.k == sizes[r.g] - 1 - r.n for r in out)
+
+
+def test_required_sources(spark, tmp_path):
+    there, none = str(tmp_path / "a"), str(tmp_path / "b")
+    spark.range(3).write.parquet(there)
+    assert missing_sources(spark, there, none) == [none] and require_sources(spark, there)[0].count() == 3
+    with pytest.raises(FileNotFoundError, match="/b"):
+        require_sources(spark, there, none)
+
+
 def test_filters(spark):
     df = spark.createDataFrame([("BMW", "Rada"), ("Audi", "Rada"), (None, "RADA"), (None, None)], "brand string, model string")
     assert filters.exclude_pair(df, "brand", "model", ("BMW", "rada")).count() == 3

@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from forecourt.operators.audit import read_audit, write_audit
+from forecourt.operators.encoder import encode, fit_codes, unknown_fields
 from forecourt.operators.scoring import guarded, score
 from forecourt.operators.training import ModelParams, evaluate, load, save, split, train
 from forecourt.schema import CLEAN_SCHEMA, REQUEST, text_schema
@@ -45,6 +47,7 @@ def requests(spark):
 def test_status_of_every_request(requests, model):
     rows = score(requests.coalesce(1).withColumn("n", F.monotonically_increasing_id()), model).orderBy("n").collect()
     assert [r.status for r in rows] == [status for _, status in CASES]
+    assert [r.unknown for r in rows] == ["model" if change.get("model") == "Fabia" else "" for change, _ in CASES]
     for r in rows:
         ok = r.status == "OK"
         assert ok == (r.price is not None) == (r.price_text is not None) == (r.features is not None)
@@ -55,7 +58,9 @@ def test_status_of_every_request(requests, model):
 
 
 def test_scoring_needs_no_shuffle(requests, model):
-    assert "Exchange" not in score(requests, model)._jdf.queryExecution().executedPlan().toString()
+    """Small code tables are broadcast, so requests stay where they are."""
+    plan = score(requests, model)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and plan.count("BroadcastHashJoin") >= 4
 
 
 def test_guard(spark):
@@ -68,7 +73,7 @@ def test_guard(spark):
 def test_saved_model_scores_alike(spark, requests, model, tmp_path):
     path = str(tmp_path / "model")
     save(model, path)
-    assert score(requests, load(path)).collect() == score(requests, model).collect()
+    assert score(requests, load(spark, path)).collect() == score(requests, model).collect()
 
 
 def test_stream_scores_alike(spark, requests, model, tmp_path):
@@ -76,7 +81,8 @@ def test_stream_scores_alike(spark, requests, model, tmp_path):
     requests.write.parquet(source)
     stream = spark.readStream.schema(requests.schema).parquet(source)
     score_stream(stream, model, target, str(tmp_path / "offsets")).awaitTermination()
-    assert sorted(map(str, spark.read.parquet(target).collect())) == sorted(map(str, score(requests, model).collect()))
+    expected = score(requests, model)
+    assert sorted(map(str, read_audit(spark, target, expected.schema).select(*expected.columns).collect())) == sorted(map(str, expected.collect()))
 
 
 def test_kinds_and_split(clean):
@@ -90,6 +96,49 @@ def test_kinds_and_split(clean):
         train(clean, ModelParams(kind="line"))
 
 
-def test_label_limit(clean):
-    with pytest.raises(ValueError, match="labels"):
-        train(clean, ModelParams(max_labels=1))
+def test_codes_of_many_values(spark):
+    """More values than a part holds, unevenly dealt over columns, nulls and no rows."""
+    values = [f"v{i * 7919 % 5000:04d}" for i in range(5000)]
+    df = spark.createDataFrame([(v, "only", None, v if i < 3 else None) for i, v in enumerate(values)], "a string, b string, c string, d string")
+    codes = fit_codes(df.repartition(7), ["a", "b", "c", "d"])
+    found = {(r.field, r.value): r.code for r in codes.collect()}
+    want = {("a", v): float(i) for i, v in enumerate(sorted(values))} | {("b", "only"): 0.0}
+    assert found == want | {("d", v): float(i) for i, v in enumerate(sorted(values[:3]))}
+    assert fit_codes(df.limit(0), ["a"]).count() == 0
+
+
+def test_encode_with_a_hot_and_an_unknown_value(spark):
+    codes = fit_codes(spark.createDataFrame([("x", 1), ("y", 2)], "a string, b int"), ["a", "b"])
+    df = spark.createDataFrame([("x", 1)] * 50 + [("z", 2), (None, 3), ("", 3)], "a string, b int")
+    out = encode(df, codes, ["a", "b"]).withColumn("unknown", unknown_fields(["a", "b"]))
+    assert out.columns == ["a", "b", "a_code", "b_code", "unknown"] and out.count() == 53
+    assert sorted(map(tuple, out.filter("unknown <> ''").collect()), key=str) == [
+        ("", 3, None, None, "b"), ("z", 2, None, 1.0, "a"), (None, 3, None, None, "b"),
+    ]
+
+
+def test_prediction_is_the_mean_of_equal_features(spark):
+    rows = [("Skoda", f"m{i % 5}", 1.0 + i % 2, 100.0, 1000.0 * (i % 10) ** 2 + i, "Nafta", "Manualni", 60.0, 3) for i in range(200)]
+    clean = spark.createDataFrame(rows, CLEAN_SCHEMA)
+    model = train(clean, ModelParams(trees=1, depth=30, step=1.0))
+    asked = clean.select(*REQUEST).distinct().withColumns({c: F.col(c).cast("string") for c in ("volume_l", "mileage_km", "power_kw", "age")})
+    means = {(r.model, r.volume_l): r.price for r in clean.groupBy("model", "volume_l").agg(F.avg("price").alias("price")).collect()}
+    scored = score(asked, model).collect()
+    assert len(scored) == 10
+    for r in scored:
+        assert r.price == pytest.approx(means[r.model, float(r.volume_l)])
+
+
+def test_failed_predictions_keep_their_features_in_the_audit(spark, clean, requests, tmp_path):
+    model = train(clean.withColumn("price", -F.col("price")), ModelParams(trees=1))
+    target = str(tmp_path / "audit")
+    scored = score(requests, model)
+    for batch, rows in ((0, scored), (1, scored.limit(2)), (0, scored)):
+        write_audit(rows, target, batch, "w")
+    audit = read_audit(spark, target, scored.schema)
+    assert audit.filter("batch_id = 0").count() == len(CASES) and audit.filter("batch_id = 1").count() == 2
+    negative = audit.filter("status = 'NEGATIVE_PREDICTION' and batch_id = 0").collect()
+    assert len(negative) == sum(status == "OK" for _, status in CASES)
+    assert all(r.price is None and len(r.raw_features) == 8 and len(r.features) == 8 for r in negative)
+    refused = audit.filter("status not in ('OK', 'NEGATIVE_PREDICTION')").collect()
+    assert refused and all(r.raw_features is None for r in refused)
