@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from forecourt.params import Budget, CleanRules, Site
+from forecourt.params import SITE_B, Budget, CleanRules, Site
 from forecourt.plans.build import build_clean
-from forecourt.plans.collect import collect_a
+from forecourt.plans.collect import collect_a, collect_b
 from forecourt.queries import sql
 from forecourt.queries.registry import query, table
-from forecourt.sources.detail_pages import accepted, extract_a, extract_b, labelled_items
-from forecourt.sources.html_outline import first, html_outline, text_of, with_tag
+from forecourt.sources.detail_pages import accepted, extract_a, extract_b
 from forecourt.sources.listing_links import distinct_links, page_addresses, page_links
+from forecourt.sources.page_fields import Field, Items, Where, page_fields
 
 _BASE = "https://example.net"
 _HREFS = """regexp_extract_all(html, '<a href="([^"]*)"', 1)"""
@@ -46,14 +46,9 @@ SELECT page_id, {_plain("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS hea
 FROM pages
 """)
 def headings_of_pages(spark, sf_dir):
-    """Heading and title of every page, out of the parsed outline."""
-    outline = html_outline(table(spark, sf_dir, "pages").select("page_id", "html"), ["h1", "title"])
-    nodes, pieces = F.col("nodes"), F.col("pieces")
-    return outline.select(
-        "page_id",
-        text_of(pieces, first(with_tag(nodes, "h1"))).alias("heading"),
-        text_of(pieces, first(with_tag(nodes, "title"))).alias("title"),
-    )
+    """Heading and title of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return page_fields(pages, {"heading": Field(Where("h1")), "title": Field(Where("title"))}).select("page_id", "heading", "title")
 
 
 _ITEMS = "regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a></li>', 1)"
@@ -65,9 +60,8 @@ FROM (SELECT page_id, unnest({_ITEMS}) AS t, generate_subscripts({_ITEMS}, 1) AS
 """)
 def items_of_pages(spark, sf_dir):
     """Label and value of every list item of every page."""
-    outline = html_outline(table(spark, sf_dir, "pages").select("page_id", "html"), ["li", "a"])
-    items = labelled_items(F.col("nodes"), F.col("pieces"), "li", "a", "a")
-    return outline.select("page_id", F.posexplode(items).alias("at", "item")).select(
+    found = page_fields(table(spark, sf_dir, "pages").select("page_id", "html"), {}, Items(Where("li"), Where("a"), Where("a")))
+    return found.select("page_id", F.posexplode("items").alias("at", "item")).select(
         "page_id", (F.col("at") + 1).alias("position"), "item.label", "item.value"
     )
 
@@ -207,3 +201,29 @@ def collect_source_a(spark, sf_dir):
     )
     site = Site(_BASE, "car_item", "stranka")
     return collect_a(results, details.select("url", "html"), Budget(min_rows=1000, max_pages=1000), site)
+
+
+@query(f"""
+WITH listings AS (
+  SELECT {_FIELDS_B}, c_custkey // 15 + 1 AS page FROM customer WHERE c_acctbal >= 0 AND c_mktsegment <> 'BUILDING'),
+first_seen AS (SELECT * EXCLUDE (page), min(page) AS page FROM listings GROUP BY ALL),
+counts AS (SELECT page, count(*) AS n_new FROM first_seen GROUP BY page),
+numbered AS (SELECT range AS page, coalesce(n_new, 0) AS n_new FROM range(1, 701) LEFT JOIN counts ON page = range),
+taken AS (SELECT page FROM (
+  SELECT page, sum(n_new) OVER (ORDER BY page) - n_new AS before,
+         sum(CAST(n_new = 0 AS INTEGER)) OVER (ORDER BY page) AS gaps FROM numbered)
+  WHERE gaps = 0 AND before < 5000)
+SELECT * EXCLUDE (page) FROM first_seen WHERE page IN (SELECT page FROM taken)
+""")
+def collect_source_b(spark, sf_dir):
+    """Result pages of 15 links with the whole class attribute of source B, in waves of 16, 32, ... pages."""
+    details = pages_b(spark, sf_dir)
+    number = F.element_at(F.split("url", "/"), -1).cast("int")
+    links = F.concat(
+        F.lit(f'<a class="{SITE_B.link_class}" href="'), "url", F.lit('">x</a><a class="c-item__link" href="'), "url", F.lit('0">no</a>')
+    )
+    # Listings of an earlier page are shown again and add nothing.
+    shown = details.select(links.alias("link"), F.explode(F.array((number / 15).cast("int") + 1, (number / 15).cast("int") + 3)).alias("page"))
+    results = shown.groupBy("page").agg(F.array_join(F.collect_list("link"), "<br>").alias("html"))
+    site = Site(_BASE, SITE_B.link_class, SITE_B.page_param)
+    return collect_b(results, details, Budget(min_rows=5000, max_pages=700), site, first_wave=16)

@@ -20,31 +20,11 @@ from forecourt.functions.numbers import digits_only
 from forecourt.operators.columns import evaluate_once
 from forecourt.params import DetailA, DetailB
 from forecourt.schema import NOT_FOUND, RAW_A, RAW_B
-from forecourt.sources.html_outline import (
-    first,
-    html_outline,
-    inside,
-    text_of,
-    with_class,
-    with_class_like,
-    with_tag,
-)
-
-
-def labelled_items(
-    nodes: Column, pieces: Column, item: str = "li", label: str = "strong", value: str = "span"
-) -> Column:
-    """array<struct(toggle, label, value)>: the first label and value element of every item element."""
+from forecourt.sources.page_fields import Field, Items, Where, page_fields
 
-    def entry(node: Column) -> Column:
-        below = inside(nodes, node)
-        return F.struct(
-            node["toggle"].alias("toggle"),
-            text_of(pieces, first(with_tag(below, label))).alias("label"),
-            text_of(pieces, first(with_tag(below, value))).alias("value"),
-        )
 
-    return F.transform(with_tag(nodes, item), entry)
+def first(values: Column) -> Column:
+    return F.get(values, F.lit(0))
 
 
 def _reasons(checks: list[tuple[str, Column]]) -> Column:
@@ -60,10 +40,15 @@ def _missing(name: str) -> Column:
 
 def extract_a(pages: DataFrame, page: DetailA = DetailA()) -> DataFrame:
     """pages(url, html) to (url, listing columns, reject_reason); the reason is null for a listing."""
-    nodes, pieces, items = F.col("nodes"), F.col("pieces"), F.col("items")
-    outline = html_outline(pages.select("url", "html"), ["div", "h1", "li", "strong", "span"])
-    heading = first(with_tag(inside(nodes, first(with_class(nodes, "div", page.heading_class))), "h1"))
-    price = first(with_tag(inside(nodes, first(with_class(nodes, "div", page.price_class))), "strong"))
+    items = F.col("items")
+    texts = page_fields(
+        pages.select("url", "html"),
+        {
+            "title": Field(Where("div", page.heading_class), Where("h1")),
+            "price_text": Field(Where("div", page.price_class), Where("strong")),
+        },
+        Items(Where("li"), Where("strong"), Where("span")),
+    )
 
     def value_of(label: str, toggled: bool = True) -> Column:
         def fits(item: Column) -> Column:
@@ -72,13 +57,7 @@ def extract_a(pages: DataFrame, page: DetailA = DetailA()) -> DataFrame:
 
         return first(F.filter(items, fits))["value"]
 
-    texts = evaluate_once(outline, {
-        "readable": nodes.isNotNull(),
-        "title": text_of(pieces, heading),
-        "price_text": text_of(pieces, price),
-        "items": labelled_items(nodes, pieces),
-    })
-    fields = evaluate_once(texts.drop("nodes", "pieces"), {
+    fields = evaluate_once(texts, {
         "brand": title_brand(F.col("title")),
         "model": title_model(F.col("title")),
         "volume_l": engine_litres(value_of(page.engine)),
@@ -99,38 +78,27 @@ def extract_a(pages: DataFrame, page: DetailA = DetailA()) -> DataFrame:
 
 def extract_b(pages: DataFrame, page: DetailB = DetailB()) -> DataFrame:
     """As `extract_a`, for source B; brand and model come from the address."""
-    nodes, pieces, items = F.col("nodes"), F.col("pieces"), F.col("items")
-    outline = html_outline(pages.select("url", "html"), ["div", "li", "span"])
-
-    def entry(item: Column) -> Column:
-        below = inside(nodes, item)
-        return F.struct(
-            text_of(pieces, first(with_class_like(below, "div", page.label_pattern))).alias("label"),
-            text_of(pieces, first(with_class_like(below, "div", page.value_pattern))).alias("value"),
-        )
-
-    complete = F.filter(
-        F.transform(with_class_like(nodes, "li", page.item_pattern), entry),
-        lambda i: i["label"].isNotNull() & i["value"].isNotNull(),
+    items = F.col("items")
+    texts = page_fields(
+        pages.select("url", "html"),
+        {
+            "subtitle": Field(Where("span", page.subtitle_class), separator=" "),
+            "price_1": Field(Where("div", page.price_class)),
+            "price_2": Field(Where("span", page.other_price_class)),
+        },
+        Items(Where("li", like=page.item_pattern), Where("div", like=page.label_pattern), Where("div", like=page.value_pattern)),
     )
-    texts = evaluate_once(outline, {
-        "readable": nodes.isNotNull(),
-        "subtitle": text_of(pieces, first(with_class(nodes, "span", page.subtitle_class)), " "),
-        "price_1": text_of(pieces, first(with_class(nodes, "div", page.price_class))),
-        "price_2": text_of(pieces, first(with_class(nodes, "span", page.other_price_class))),
-        "items": complete,
-    })
 
     def last_value(label: str, usable=lambda value: F.lit(True)) -> Column:
-        values = F.filter(items, lambda i: (i["label"] == label) & usable(i["value"]))
+        values = F.filter(items, lambda i: (i["label"] == label) & i["value"].isNotNull() & usable(i["value"]))
         return F.try_element_at(values, F.lit(-1))["value"]
 
-    fields = evaluate_once(texts.drop("nodes", "pieces"), {
+    fields = evaluate_once(texts, {
         "brand": url_brand(F.col("url")),
         "model": url_model(F.col("url")),
         # The last engine entry decides, also when it cannot be read.
         "volume_cm3": engine_cm3(last_value(page.engine)),
-        "sub": subtitle_fields(F.col("subtitle"), (page.used, page.new)),
+        "sub": subtitle_fields(F.col("subtitle"), (page.used, page.new), page.dated_years, page.plain_years),
         "price": chosen_price(F.col("price_1"), F.col("price_2")),
         "fuel": last_value(page.fuel),
         "transmission": last_value(page.transmission),

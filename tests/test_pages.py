@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from forecourt.params import SITE_A, SITE_B, Budget
 from forecourt.plans.build import build_clean
-from forecourt.plans.collect import collect_a, collect_b
+from forecourt.plans.collect import collect_a, collect_b, first_page_of_link, frontier_listings
 from forecourt.params import CleanRules
 from forecourt.schema import RAW_A, RAW_B
+from forecourt.sources import page_fields as page_fields_module
 from forecourt.sources.detail_pages import accepted, extract_a, extract_b, rejected
-from forecourt.sources.html_outline import first, html_outline, inside, text_of, with_tag
 from forecourt.sources.listing_links import distinct_links, page_addresses, page_links, unescaped
+from forecourt.sources.page_fields import Field, Items, Where, page_fields
 
 PAGE_A = """<div class="car_detail2__h1"><h1>Škoda Octavia 2.0 TDI</h1></div>
 <ul><li data-toggle="popover"><strong>Rok</strong><span> 2018 </span></li>
@@ -112,18 +113,49 @@ def test_details_of_page_b(spark):
     assert [rows[k].price for k in "23"] == ["1", "Cenanadotaz"]
 
 
-def test_outline_text(spark):
+def test_texts_of_elements(spark):
     html = "<li>a <b>b</b><!-- x -->c<script>no</script> &amp; d<br/>e<p>f</div>g</li><li>h"
-    outline = html_outline(spark.createDataFrame([(1, html)], "id int, html string"), ["li", "p"])
-    nodes, pieces = F.col("nodes"), F.col("pieces")
-    row = outline.select(
-        text_of(pieces, first(nodes)).alias("all"),
-        text_of(pieces, first(nodes), " ").alias("spaced"),
-        text_of(pieces, first(with_tag(inside(nodes, first(nodes)), "p"))).alias("p"),
-        text_of(pieces, F.get(with_tag(nodes, "li"), F.lit(1))).alias("last"),
-        F.size(nodes).alias("n"),
-    ).first()
-    assert row == ("abc& defg", "a b c & d e f g", "fg", "h", 3)
+    li = Where("li")
+    fields = {"all": Field(li), "spaced": Field(li, separator=" "), "p": Field(li, Where("p")), "none": Field(Where("li", "x"))}
+    row = page_fields(spark.createDataFrame([(1, html)], "id int, html string"), fields, Items(li, Where("b"), Where("p"))).first()
+    assert row[:5] == (1, "abc& defg", "a b c & d e f g", "fg", None)
+    assert [tuple(i) for i in row["items"]] == [(None, "b", "fg"), (None, None, None)] and row["readable"]
+
+
+def test_pages_that_are_hard_to_read(spark):
+    pages = {
+        "<p>a</p": "a", "<p>a<b": "a", "<p>a < b <= c</p>": "a < b <= c", "<P CLASS=x>a</P>b": "a", "<p/>a": "",
+        "<p title='>' class=\"x>y\">a</p>": "a", "<p title=\">a</p>b": "a", "<p>a<style>p</style>b</p>": "ab",
+        "<p>a<script>if (a < b) '</p>'</script>b</p>": "ab", "<p>a<!-- <p> -- > </p> -->b</p>": "ab", "<p>a<!-- never": "a",
+        "<p>a<!doctype x>b<?pi?>c</>d</p>": "abcd", "<p>&lt;b&gt; &nbsp;&eacute</p>": "<b> \xa0é", "<div><p>a</div>b": "a",
+        "<p>a<svg/>b<br>c</p>": "abc", "<p>a<template>no</template>b": "ab", "</p>x<p>a": "a", "<p>" + "<i>" * 5000 + "a": "a",
+        "": None, "x": None, "<": None,
+    }
+    rows = spark.createDataFrame(list(enumerate(pages)), "id int, html string")
+    found = page_fields(rows, {"t": Field(Where("p"))}).orderBy("id").collect()
+    assert [r.t for r in found] == list(pages.values()) and all(r.readable for r in found)
+
+
+def test_a_fault_rejects_its_page_alone(spark, monkeypatch):
+    rows = spark.createDataFrame([("u1", PAGE_A), ("u2", None), ("u3", PAGE_A)], "url string, html string").coalesce(1)
+
+    def scan_fails(self, tag, attributes, begin=page_fields_module._Chosen.begin):
+        if "fault" in attributes:
+            raise RuntimeError("fault")
+        return begin(self, tag, attributes)
+
+    monkeypatch.setattr(page_fields_module._Chosen, "begin", scan_fails)
+    bad = rows.withColumn("html", F.when(F.col("url") == "u3", F.concat(F.lit("<li fault>"), "html")).otherwise(F.col("html")))
+    out = {r.url: r.reject_reason for r in extract_a(bad).collect()}
+    assert out == {"u1": None, "u2": "unreadable page", "u3": "unreadable page"}
+
+
+def test_little_of_a_page_leaves_its_task(spark):
+    filler = "<div><ul><li>x</li></ul><span>filler text</span></div>" * 300
+    page = spark.createDataFrame([("u", filler.replace("<li>x</li>", "") + PAGE_A + filler.replace("<li>x</li>", ""))], "url string, html string")
+    found = page_fields(page, {"t": Field(Where("div", "car_detail2__h1"), Where("h1"))}, Items(Where("li"), Where("strong"), Where("span"))).first()
+    assert found.t == "Škoda Octavia 2.0 TDI" and len(found["items"]) == 6
+    assert accepted(extract_a(page)).count() == 1
 
 
 class Anchors(HTMLParser):
@@ -211,3 +243,43 @@ def test_collect_and_build(spark):
     clean = build_clean(a, b, CleanRules(as_of_year=2026)).collect()
     assert sorted(r.mileage_km for r in clean) == [1.0, 2.0, 150000.0]
     assert {(r.brand, r.model, r.fuel, r.transmission, r.age) for r in clean} == {("Skoda", "Octavia", "Nafta", "Manualni", 8)}
+
+
+def result_page(*names):
+    return "".join(f'<a class="car_item" href="/{n}">x</a>' for n in names)
+
+
+@pytest.fixture(scope="module")
+def many_pages(spark):
+    """30 result pages of 3 links: two of the page before, one new; page 21 has nothing new."""
+    results = [(p, result_page(p - 2, p - 1, p if p != 21 else 1)) for p in range(1, 31)]
+    details = [(f"{SITE_A.base}/{n}", PAGE_A.replace("150 000", f"{1000 + n}")) for n in range(-1, 60)]
+    return spark.createDataFrame(results, "page int, html string"), spark.createDataFrame(details, "url string, html string")
+
+
+@pytest.mark.parametrize("first_wave", [1, 4, 64])
+@pytest.mark.parametrize(("min_rows", "max_pages", "found"), [(5, 30, 5), (100, 30, 22), (100, 12, 14), (3, 1, 3), (23, 30, 22)])
+def test_waves_take_the_same_pages(many_pages, first_wave, min_rows, max_pages, found):
+    rows = collect_a(*many_pages, Budget(min_rows=min_rows, max_pages=max_pages), first_wave=first_wave).collect()
+    assert sorted(int(r.mileage_km) for r in rows) == list(range(999, 999 + found))
+
+
+def test_waves_without_any_page(spark, many_pages):
+    results, details = many_pages
+    assert collect_a(results.limit(0), details, Budget(), first_wave=2).count() == 0
+    assert collect_a(results, details.limit(0), Budget(), first_wave=2).count() == 0
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_only_linked_pages_are_parsed(spark, many_pages, small, tmp_path):
+    results, details = many_pages
+    path = str(tmp_path / "links")
+    first_page_of_link(results.filter("page <= 4"), SITE_A).write.parquet(path)
+    found = frontier_listings(details, spark.read.parquet(path), extract_a, small)
+    assert found.count() == 6
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Top of the plan first: the semi-join lies below the parser.
+    assert plan.index("MapInArrow") < plan.index("LeftSemi")
+    if small:
+        below = plan[plan.index("LeftSemi"):]
+        assert "BroadcastHashJoin" in plan[: plan.index("LeftSemi") + 10] and "hashpartitioning(url" not in below
