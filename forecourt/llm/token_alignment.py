@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +22,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from forecourt.llm import arrays as A
+from forecourt.llm.byte_bpe import ragged
 from forecourt.llm.components import cut
 
 SPACE = "▁"  # how the pieces of the second tokenizer write a space
+# A space at which either tokenizer begins a token, whatever stands around: behind a letter, digit or
+# usual punctuation, before a letter.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_BEFORE = f"[{_LETTER}0-9.,;:!?)*$%&#\"'-]"
+_BREAK = re.compile(f"(?<={_BEFORE}) (?=[{_LETTER}])")
+_BETWEEN_BREAKS = re.compile(f"(?s)[{_LETTER}](?:.*{_BEFORE})?")
+CACHE = 300_000  # stretches of text whose tokens a task remembers
+JOINED = 1000  # of them that are encoded as one text
+END_BITS = 40  # of a document-end key
 
 
 @dataclass(frozen=True)
@@ -54,10 +66,34 @@ class ByteLevelTokenizer:
             out[i] = bytes(spelled[c] for c in entry) if all(c in spelled for c in entry) else entry.encode()
         return pa.array(out, pa.binary())
 
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        return pc.binary_length(self.entries).to_numpy().astype(np.int64)
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of a space and the text."""
         return [e.ids for e in self._tokenizer.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
 
+    def encode_stretches(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, the number of ids of each stretch).
+
+        Stretches that begin and end as breaks need are encoded many at once, as one text, and
+        told apart by the sizes of their tokens, since this tokenizer spells every byte.
+        """
+        whole = [bool(_BETWEEN_BREAKS.fullmatch(s) or (len(s) == 1 and re.match(f"[{_LETTER}]", s))) for s in stretches]
+        many, one = ([i for i, w in enumerate(whole) if w is kind] for kind in (True, False))
+        lots = [many[at : at + JOINED] for at in range(0, len(many), JOINED)] + [[i] for i in one]
+        found = self.encode([" ".join([stretches[i] for i in lot]) for lot in lots])
+        order = np.fromiter(chain.from_iterable(lots), np.int64, len(stretches))
+        ids = np.fromiter(chain.from_iterable(found), np.int32, sum(map(len, found)))
+        ends = np.cumsum(np.fromiter((len(stretches[i].encode()) + 1 for i in order.tolist()), np.int64, len(order)))
+        last = np.searchsorted(np.cumsum(self.sizes[ids]), ends, side="left") + 1
+        n = np.empty(len(order), np.int64)
+        n[order] = np.diff(last, prepend=0)
+        start = np.empty(len(order), np.int64)
+        start[order] = np.concatenate([[0], last[:-1]])
+        return ids[ragged(start, n)], n
+
 
 class PieceTokenizer:
     """A model of pieces with byte fallback, which puts a space before the text itself."""
@@ -67,6 +103,11 @@ class PieceTokenizer:
 
         self._model = SentencePieceProcessor(model_proto=file)
 
+    @cached_property
+    def joins_words(self) -> bool:
+        """Some piece holds a space behind another character, so that words don't break at spaces."""
+        return any(SPACE in self._model.id_to_piece(i).lstrip(SPACE) for i in range(self._model.get_piece_size()))
+
     @cached_property
     def entries(self) -> pa.Array:
         model, out = self._model, []
@@ -78,17 +119,21 @@ class PieceTokenizer:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self._model.encode(texts, num_threads=1)
 
+    def encode_stretches(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.encode(stretches)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size
+
 
 def _flat(lists: pa.ListArray, sizes: pa.Array, name: str) -> pa.Table:
-    """(doc, end, name): per token its document, the end of its bytes there, and its id."""
+    """(key, name): per token its id, and its document and the end of its bytes there as one number."""
     ids, doc = pc.list_flatten(lists), pc.list_parent_indices(lists)
-    size = sizes.take(ids)
-    total = pc.cumulative_sum(size)
-    counts = np.diff(lists.offsets.to_numpy())
+    total = pc.cumulative_sum(sizes.take(ids))
+    offsets = lists.offsets.to_numpy()
     # The running sum restarts with each document: what stood before its first token goes off.
-    before = np.concatenate([[0], total.to_numpy()])[lists.offsets.to_numpy()[:-1]]
-    end = pc.subtract(total, pa.array(np.repeat(before, counts), pa.int64()))
-    return pa.table({"doc": doc.cast(pa.int64()), "end": end, name: ids})
+    before = np.concatenate([[0], total.to_numpy()])[offsets[:-1]]
+    end = pc.subtract(total, pa.array(np.repeat(before, np.diff(offsets)), pa.int64()))
+    return pa.table({"key": pc.bit_wise_or(pc.shift_left(doc.cast(pa.int64()), END_BITS), end), name: ids})
 
 
 def _spelled(lists: pa.ListArray, entries: pa.Array) -> pa.Array:
@@ -100,6 +145,55 @@ def _joined(names: pa.Array, offsets: np.ndarray, between: str) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), names), between)
 
 
+class _Stretches(dict):
+    """Numbers of stretches of text, in the order they come."""
+
+    def __missing__(self, text):
+        self[text] = len(self)
+        return self[text]
+
+
+class StretchEncoder:
+    """The ids of texts by both tokenizers, each stretch between breaks encoded once per cache.
+
+    A space and a text is a row of spaces and stretches, and no token reaches over a break, so the
+    tokens of the stretches are those of the text.
+    """
+
+    def __init__(self, a: ByteLevelTokenizer, b: PieceTokenizer):
+        self.tokenizers = (a, b)
+        self.split = (lambda text: [text]) if b.joins_words else _BREAK.split
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = _Stretches()
+        self.ids = [np.zeros(0, np.int32) for _ in self.tokenizers]
+        self.start = [np.zeros(0, np.int64) for _ in self.tokenizers]
+        self.size = [np.zeros(0, np.int64) for _ in self.tokenizers]
+
+    def encode(self, texts: list[str]) -> list[pa.ListArray]:
+        """For each tokenizer the ids of each text; empty texts have none."""
+        if len(self.known) > CACHE:
+            self._forget()
+        cut = [self.split(t) if t else () for t in texts]
+        n_cut = np.array([len(c) for c in cut], np.int64)
+        before = len(self.known)
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(n_cut.sum()))
+        fresh = list(self.known)[before:]
+        out = []
+        for k, tokenizer in enumerate(self.tokenizers):
+            if fresh:
+                ids, size = tokenizer.encode_stretches(fresh)
+                self.start[k] = np.concatenate([self.start[k], len(self.ids[k]) + np.cumsum(size) - size])
+                self.size[k] = np.concatenate([self.size[k], size])
+                self.ids[k] = np.concatenate([self.ids[k], ids])
+            size = self.size[k][at]
+            ids = self.ids[k][ragged(self.start[k][at], size)]
+            ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n_cut)])]
+            out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
+        return out
+
+
 class Aligner:
     """Both tokenizers and what is known of their ids."""
 
@@ -108,6 +202,7 @@ class Aligner:
         self.a, self.b = ByteLevelTokenizer(file_a), PieceTokenizer(file_b)
         self.sizes = [pc.binary_length(t.entries).cast(pa.int64()) for t in (self.a, self.b)]
         self.ids_b = len(self.b.entries)
+        self.encoder = StretchEncoder(self.a, self.b)
         self.names = pa.array(map(str, range(max(len(self.a.entries), self.ids_b))), pa.string())
 
     def align(self, texts: list[str]) -> tuple[pa.Table, pa.Table]:
@@ -117,13 +212,7 @@ class Aligner:
         as a space and the text, have no tokens.
         """
         given = pa.array([f" {t}".encode() if t else None for t in texts], pa.binary())
-        empty = [i for i, t in enumerate(texts) if not t]
-        lists = []
-        for tokenizer in (self.a, self.b):
-            ids = tokenizer.encode(texts)
-            for i in empty:
-                ids[i] = []
-            lists.append(pa.array(ids, pa.list_(pa.int32())))
+        lists = self.encoder.encode(texts)
         right = [pc.equal(_spelled(ids, t.entries), given) for ids, t in zip(lists, (self.a, self.b), strict=True)]
         able = pc.fill_null(pc.and_(*right), False)
         at = np.flatnonzero(able.to_numpy(zero_copy_only=False))
@@ -133,19 +222,19 @@ class Aligner:
 
         # Every end of either tokenizer closes a stretch of bytes that lies in one token of each, and
         # two tokens share one stretch at most, so stretches are links; common ends close groups.
-        met = a.join(b, ["doc", "end"], join_type="full outer", use_threads=False)
-        order = np.lexsort([met["end"].to_numpy(), met["doc"].to_numpy()])
-        met = met.take(pa.array(order)).combine_chunks()
+        met = a.join(b, "key", join_type="full outer", use_threads=False)
+        met = met.take(pa.array(np.argsort(met["key"].to_numpy()))).combine_chunks()
+        doc = met["key"].to_numpy() >> END_BITS
         common = pc.and_(met["a"].is_valid(), met["b"].is_valid())
-        links = pa.table({"doc": met["doc"], "a": pc.fill_null_backward(met["a"]), "b": pc.fill_null_backward(met["b"])})
-        pair = pc.add(pc.multiply(links["a"].cast(pa.int64()), self.ids_b), links["b"].cast(pa.int64()))
-        held = pa.table({"doc": links["doc"], "pair": pair}).group_by(["doc", "pair"], use_threads=False).aggregate([([], "count_all")])
+        linked_a, linked_b = (pc.fill_null_backward(met[name]).cast(pa.int64()) for name in "ab")
+        pair = pc.add(pc.multiply(linked_a, self.ids_b), linked_b)
+        held = pa.table({"doc": doc, "pair": pair}).group_by(["doc", "pair"], use_threads=False).aggregate([([], "count_all")])
 
         n = len(at)
         per_doc = {
             "n_a": np.diff(_offsets(lists[0])), "n_b": np.diff(_offsets(lists[1])),
-            "n_groups": np.bincount(met["doc"].to_numpy()[common.to_numpy()], minlength=n),
-            "n_links": np.bincount(met["doc"].to_numpy(), minlength=n),
+            "n_groups": np.bincount(doc[common.to_numpy()], minlength=n),
+            "n_links": np.bincount(doc, minlength=n),
         }
         whole = {}
         for name, values in per_doc.items():
