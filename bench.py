@@ -18,7 +18,7 @@ from forecourt.queries import QUERIES  # noqa: E402
 from forecourt.session import build_session  # noqa: E402
 
 # Training takes long; one timed run is enough there.
-ONCE = {"train_and_score", "compare_models"}
+ONCE = {"train_and_score", "scoring_audit", "compare_models"}
 
 
 def run(query, spark, sf_dir: str) -> tuple[float, int]:

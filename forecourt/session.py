@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -24,12 +25,24 @@ def build_session(name: str = "forecourt", master: str | None = None, **settings
     return builder.getOrCreate()
 
 
+def usable_by_all(master: str, path: str) -> bool:
+    """Executors are threads of this machine, or the path is on no machine's own disk."""
+    own_disk = path.startswith("file:") or "://" not in path
+    return re.fullmatch(r"local(\[.*\])?", master) is not None or not own_disk
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, else one below the warehouse."""
+    """The folder all executors share: `spark.checkpoint.dir`, else one below the warehouse.
+
+    A warehouse on the driver's own disk will do in local mode only.
+    """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not usable_by_all(context.master, warehouse):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"{warehouse}/scratch"
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder

@@ -14,6 +14,7 @@ from forecourt.operators.page_budget import pages_taken
 from forecourt.params import Budget
 from forecourt.queries import lookups as queries
 from forecourt.schema import CLEAN
+from forecourt.session import usable_by_all
 from forecourt.sources.selection import select_listings, select_or_drop_brand, select_or_drop_range
 from forecourt.sources.tables import missing_sources, null_tokens_to_null, read_clean_or_empty, read_csv, read_table, require_sources
 from forecourt.streaming.append_stream import append_stream
@@ -222,6 +223,14 @@ def test_export_by_price(spark, tmp_path):
     assert spark.read.parquet(path).count() == 0
 
 
+@pytest.mark.parametrize(("master", "path", "usable"), [
+    ("local[4]", "file:/w", True), ("local", "/w", True), ("local-cluster[2,1,1024]", "file:/w", False),
+    ("spark://h:7077", "/w", False), ("yarn", "hdfs://n/w", True),
+])
+def test_scratch_folder_on_a_cluster(master, path, usable):
+    assert usable_by_all(master, path) is usable
+
+
 def test_numbers_within_groups(spark):
     rows = [(g, n) for g, size in (("a", 300), ("b", 1), ("c", 40)) for n in range(size)]
     out = numbered(spark.createDataFrame(rows, "g string, n int").repartition(5), ["g", F.col("n").desc()], ["g"], "k").collect()
