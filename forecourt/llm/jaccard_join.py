@@ -27,10 +27,11 @@ from forecourt.llm.components import connected_components, cut, two_levels
 
 _U = np.uint64
 SKETCH_BITS = 512
-WIDE_BITS = 4096  # the most that a wide sketch has; it has two bits a shingle, rounded up to a power of two
+TILE_BYTES = 8 << 20  # of sketches or sets that one task holds of either side of a tile of pairs, about
+LEAST_TILES = 4
 FLUSH = 1 << 19  # segments that a task holds before it sends them
 BITMAP_BITS = 24
-IDS = "doc_id long, n long, class long, sketch array<long>, wide binary"
+IDS = "doc_id long, print long, n long, class long, sketch array<long>, wide binary"
 SEGMENTS = "block int, payload binary"
 MET = "kind int, key long, a long, b long"
 
@@ -179,10 +180,14 @@ def _similar(one: np.ndarray, two: np.ndarray, num: int, den: int) -> bool:
 
 
 def _wide_sketches(values: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """Parity of the shingles of each set in as many cells as suit its size."""
+    """Parity of the shingles of each set in as many cells as suit its size: one to two a shingle.
+
+    Two sets of n without a common shingle differ in four of ten of so many cells or more, and
+    similar ones in two of ten shingles at most, so a wide sketch never fills up.
+    """
     out, cells = [], A.mix(values ^ _U(0x0BADC0DE5EED1234))
     for low, high in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        width = min(max(1 << (2 * (high - low)).bit_length(), SKETCH_BITS), WIDE_BITS)
+        width = max(1 << (high - low).bit_length(), SKETCH_BITS)
         cell = (cells[low:high] & _U(width - 1)).astype(np.int64)
         out.append(np.packbits((np.bincount(cell, minlength=width) & 1).astype(np.uint8)).tobytes())
     return out
@@ -195,6 +200,50 @@ def _side_by_side(packed: list[bytes]) -> np.ndarray:
     return np.stack(folded)
 
 
+def _near(one: bytes, two: bytes, n_one: int, n_two: int, num: int, den: int) -> bool:
+    """Wide sketches leave the similarity possible."""
+    bits = _side_by_side([one, two])
+    return int(np.bitwise_count(bits[0] ^ bits[1]).sum(dtype=np.int64)) <= (n_one + n_two) * (den - num) // (den + num)
+
+
+def _alike(one: bytes, two: bytes, n_one: int, n_two: int, num: int, den: int) -> bool:
+    """Whole sets have the similarity."""
+    return _similar(np.frombuffer(one, "<u8"), np.frombuffer(two, "<u8"), num, den)
+
+
+def compared(pairs: DataFrame, bodies: DataFrame, test, num: int, den: int, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """The pairs (a, b) whose bodies (class, n, body) pass the test.
+
+    Classes are dealt into tiles by hash, and the pairs between two tiles are one group, to which
+    each body goes once, however many pairs it is in. The more bytes, the more tiles, so that a
+    group holds about two tiles of bodies at any size; a class with very many partners meets them
+    in as many groups as there are tiles.
+    """
+    ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    held = cut(ends.join(bodies, "class").select("class", "n", "body"), "bodies")
+    total = held.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
+    tiles = max(LEAST_TILES, math.ceil(total / tile_bytes))
+
+    def tile(name: str):
+        return F.pmod(F.xxhash64(F.lit(11), F.col(name)), F.lit(tiles))
+
+    tiled = pairs.select("a", "b", tile("a").alias("ta"), tile("b").alias("tb"))
+    wanted = tiled.select(F.col("a").alias("class"), "ta", "tb").union(tiled.select("b", "ta", "tb")).distinct()
+    sent = wanted.join(held, "class").select("class", "n", "body", F.col("ta").alias("xa"), F.col("tb").alias("xb"))
+
+    def run(group: pa.Table, bodies: pa.Table) -> pa.Table:
+        A.lean()
+        at = {c: i for i, c in enumerate(bodies.column("class").to_pylist())}
+        body, n = bodies.column("body"), bodies.column("n").to_pylist()
+        passed = []
+        for a, b in zip(group.column("a").to_pylist(), group.column("b").to_pylist(), strict=True):
+            i, j = at[a], at[b]
+            passed.append(test(body[i].as_py(), body[j].as_py(), n[i], n[j], num, den))
+        return group.select(["a", "b"]).filter(pa.array(passed, pa.bool_()))
+
+    return tiled.groupBy("ta", "tb").cogroup(sent.groupBy("xa", "xb")).applyInArrow(run, "a long, b long")
+
+
 def _cross_pairs(num: int, den: int, spanning: bool):
     """Pairs of different components in a segment that sizes and wide sketches allow.
 
@@ -240,7 +289,8 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int
     are ignored. Sets are compared by 64-bit hashes of their shingles.
     """
     spark = docs.sparkSession
-    texts = A.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    texts = A.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), text.alias("text"))
 
     def identify(batches):
         for piece in A.pieces(batches, "text", 2 << 20):
@@ -250,12 +300,13 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int
             yield pa.record_batch(
                 [
                     piece.column("doc_id"),
+                    piece.column("print"),
                     pa.array(np.diff(first), pa.int64()),
                     _signed(_classes(values, first)),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sketches) + 1) * width, pa.int32()), pa.array(sketches.ravel(), pa.int64())),
                     pa.array(_wide_sketches(values, first), pa.binary()),
                 ],
-                ["doc_id", "n", "class", "sketch", "wide"],
+                ["doc_id", "print", "n", "class", "sketch", "wide"],
             )
 
     ids = cut(texts.mapInArrow(identify, IDS), "sets")
@@ -296,53 +347,50 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int
             yield flush()
 
     met = cut(texts.mapInArrow(send, SEGMENTS).groupBy("block").applyInArrow(_meet_least, MET), "met")
-    sets = ids.filter("n > 0").select("class", "n", "sketch", "wide").dropDuplicates(["class"])
+    sets = ids.filter("n > 0").select("class", "print", "n", "sketch", "wide").dropDuplicates(["class"])
 
     def allowed(pairs: DataFrame) -> DataFrame:
-        """The pairs whose sizes and sketches leave the similarity possible."""
+        """The pairs whose sizes and sketches leave the similarity possible: short sketches first, then wide ones."""
         one = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         two = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
         near = (apart <= F.floor((F.col("na") + F.col("nb")) * (den - num) / (den + num)))
         alike = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
-        return pairs.join(one, "a").join(two, "b").filter(alike & near).select("a", "b")
+        short = cut(pairs.join(one, "a").join(two, "b").filter(alike & near).select("a", "b"), "near")
+        return compared(short, sets.select("class", "n", F.col("wide").alias("body")), _near, num, den)
 
     def members_of(classes: DataFrame) -> DataFrame:
-        """The shingles of classes, one row each; a few more classes come along."""
-        wanted = bitmap(classes.distinct(), BITMAP_BITS)
+        """The shingles of classes, one row each, out of one text of each; a few more classes come along."""
+        prints = sets.join(classes.distinct(), "class", "left_semi").select("print")
+        wanted = bitmap(prints, BITMAP_BITS)
 
         def fetch(batches):
             bits = marks(wanted)
             for piece in A.pieces(batches, "text", 2 << 20):
-                values, first = shingle_sets(A.column(piece, "text"), size)
+                prints = piece.column("print").to_numpy().view(_U)
+                found = piece.filter(pa.array(bits[(prints & _U((1 << BITMAP_BITS) - 1)).astype(np.int64)]))
+                values, first = shingle_sets(A.column(found, "text"), size)
                 whole = _classes(values, first)
-                hit = bits[(whole & _U((1 << BITMAP_BITS) - 1)).astype(np.int64)] & (whole > 0)
-                at = np.flatnonzero(hit)
-                at = at[np.unique(whole[at], return_index=True)[1]]
+                at = np.unique(whole, return_index=True)[1]
+                at = at[whole[at] > 0]
                 packed = [values[first[i] : first[i + 1]].tobytes() for i in at.tolist()]
                 yield pa.record_batch([_signed(whole[at]), pa.array(packed, pa.binary())], ["class", "members"])
 
         return texts.mapInArrow(fetch, "class long, members binary").dropDuplicates(["class"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        def compare(batches):
-            for batch in batches:
-                same = []
-                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                    same.append(_similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), num, den))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(same))
-
-        members = members_of(pairs.select("a").union(pairs.select("b")))
-        x = members.select(F.col("class").alias("a"), F.col("members").alias("x"))
-        y = members.select(F.col("class").alias("b"), F.col("members").alias("y"))
-        return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+        """The pairs whose whole sets are similar."""
+        members = members_of(pairs.select(F.col("a").alias("class")).union(pairs.select("b")))
+        bodies = members.select("class", (F.octet_length("members") / 8).cast("long").alias("n"), F.col("members").alias("body"))
+        return compared(pairs, bodies, _alike, num, den)
 
     stars = cut(allowed(met.filter("kind = 0").select("a", "b").distinct()), "stars")
     links = cut(verified(stars), "links")
     groups = two_levels(links)
 
     # What shares a segment and is still apart: first as many pairs as would join it, if wide sketches
-    # are right. Where whole sets refuse some of these, all pairs of the segments concerned follow.
+    # are right. Where whole sets refuse some of these, stars that were refused before among them,
+    # all pairs of the segments concerned follow.
     shared = met.filter("kind = 1").select("key", F.col("a").alias("class"))
     tested = stars
     for spanning in (True, False):
@@ -353,19 +401,20 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = 4, num: int = 85, den: int
         dealt = unsettled.join(sets.select("class", "n", "wide"), "class")
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(16 * blocks)))
         dealt = dealt.select("block", "key", "class", "root", "n", "wide")
-        cross = dealt.groupBy("block").applyInArrow(_cross_pairs(num, den, spanning), "a long, b long").distinct()
-        cross = cut(cross.join(tested, ["a", "b"], "left_anti"), "cross")
-        if cross.head(1):
-            found = cut(verified(cross), "links")
-            links = links.union(found)
-        if spanning or cross.head(1):
+        chosen = cut(dealt.groupBy("block").applyInArrow(_cross_pairs(num, den, spanning), "a long, b long").distinct(), "cross")
+        some = bool(chosen.head(1))
+        if some:
+            fresh = cut(chosen.join(tested, ["a", "b"], "left_anti"), "fresh")
+            if fresh.head(1):
+                links = links.union(cut(verified(fresh), "links"))
+        if some or spanning:
             groups = connected_components(links)
-        if not cross.head(1):
+        if not (some and spanning):
             break
-        refused = cross.join(found, ["a", "b"], "left_anti").select(F.col("a").alias("class")).distinct()
-        if not spanning or not refused.head(1):
+        refused = chosen.join(links, ["a", "b"], "left_anti").select(F.col("a").alias("class")).distinct()
+        if not refused.head(1):
             break
-        tested = tested.union(cross)
+        tested = tested.union(fresh)
         shared = shared.join(shared.join(refused, "class", "left_semi").select("key").distinct(), "key", "left_semi")
 
     least = ids.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
