@@ -27,6 +27,8 @@ _U = np.uint64
 SLOT_BITS = 15
 MEMBER_BITS = 22
 PAGE_ROWS = 512
+TEXTS = 128  # whose slots are marked at once
+PAIR_BITS = 20  # of a table that tells most pairs of words at once from those of passages
 
 
 @dataclass(frozen=True)
@@ -86,9 +88,13 @@ def _weights(docs: DataFrame, members: bytes) -> np.ndarray:
             hashes = A.word_hashes(found, lower=True)
             hit = known[(hashes & _U((1 << MEMBER_BITS) - 1)).astype(np.int64)]
             owner = np.repeat(np.arange(len(found.first) - 1), np.diff(found.first))[hit]
-            pairs = np.unique(owner << SLOT_BITS | _slots(hashes[hit]))
-            counts += np.bincount(pairs & ((1 << SLOT_BITS) - 1), minlength=len(counts))
-            n += piece.num_rows
+            slots, n_texts = _slots(hashes[hit]), piece.num_rows
+            for low in range(0, n_texts, TEXTS):
+                some = slice(*np.searchsorted(owner, (low, low + TEXTS)))
+                held = np.zeros((min(TEXTS, n_texts - low), len(counts)), bool)
+                held[owner[some] - low, slots[some]] = True
+                counts += np.count_nonzero(held, axis=0)
+            n += n_texts
         slots = np.flatnonzero(counts)
         yield pa.record_batch(
             [pa.array(np.append(slots, -1), pa.int64()), pa.array(np.append(counts[slots], n), pa.int64())], ["slot", "n"]
@@ -219,6 +225,8 @@ class _Pairs:
     def __init__(self, words: list[list[int]], rules: DecontaminationRules):
         mine = [_pairs(np.array(w, np.int64).view(_U)) for w in words]
         self.keys, counts = np.unique(np.concatenate(mine), return_counts=True)
+        self.marked = np.zeros(1 << PAIR_BITS, bool)
+        self.marked[(self.keys & _U((1 << PAIR_BITS) - 1)).astype(np.int64)] = True
         self.need, entries = [], []
         for passage, found in enumerate(mine):
             n = len(found) + 1
@@ -247,9 +255,10 @@ class _Pairs:
         if len(hashes) < 2 or not len(self.keys):
             return
         pairs = _pairs(hashes)
-        name = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
-        at = np.flatnonzero((self.keys[name] == pairs) & (owner[1:] == owner[:-1]))
-        name = name[at]
+        at = np.flatnonzero(self.marked[(pairs & _U((1 << PAIR_BITS) - 1)).astype(np.int64)] & (owner[1:] == owner[:-1]))
+        name = np.minimum(np.searchsorted(self.keys, pairs[at]), len(self.keys) - 1)
+        right = self.keys[name] == pairs[at]
+        at, name = at[right], name[right]
         span = len(hashes) + apart * (int(owner[-1]) + 2)
         for passages, places, first in self.groups:
             size = first[name + 1] - first[name]
