@@ -383,10 +383,10 @@ def streamed_append(spark, sf_dir):
     target = scratch_path(spark, "stream")
     offsets = {name: scratch_path(spark, f"offsets-{name}") for name in ("documents", "conversations")}
     for name, kind in (("documents", "lang"), ("conversations", "role"), ("documents", "lang")):
+        # A stream's plain path must be a folder; a pattern finds the table as a file too.
         stream = (
             spark.readStream.schema(table(spark, sf_dir, name).schema)
-            .option("pathGlobFilter", f"{name}.parquet")
-            .parquet(sf_dir)
+            .parquet(f"{sf_dir}/{name}.parque[t]")
             .select("text", F.col(kind).alias("kind"))
         )
         append_stream(stream, target, stream.columns, offsets[name]).awaitTermination()

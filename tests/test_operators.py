@@ -1,6 +1,7 @@
 """Distinct, append, budget, lookups, filters, tables."""
 
 import random
+import shutil
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -12,7 +13,7 @@ from forecourt.operators.columns import convert_volume, evaluate_once
 from forecourt.operators.numbering import numbered
 from forecourt.operators.page_budget import pages_taken
 from forecourt.params import Budget
-from forecourt.queries import lookups as queries
+from forecourt.queries import listings, lookups as queries
 from forecourt.schema import CLEAN
 from forecourt.session import usable_by_all
 from forecourt.sources.selection import select_listings, select_or_drop_brand, select_or_drop_range
@@ -149,6 +150,24 @@ def test_stream_equals_batch(spark, tmp_path):
     assert values(stored.select("k", "n")) == values(distinct.distinct_rows(df))
 
 
+@pytest.mark.parametrize("as_file", [False, True])
+def test_streamed_tables_are_folders_or_files(spark, tmp_path, as_file):
+    tables = {
+        "documents": ("text string, lang string", [("a", "cs"), ("a", "cs"), (None, None), ("b", "de"), ("c", "user")]),
+        "conversations": ("text string, role string", [("a", "user"), ("c", "user"), (None, None), ("d", None)]),
+    }
+    folder = tmp_path / "tables"
+    folder.mkdir()
+    for name, (schema, rows) in tables.items():
+        written = spark.createDataFrame(rows, schema).coalesce(1) if as_file else spark.createDataFrame(rows, schema).repartition(3)
+        path = tmp_path / name if as_file else folder / f"{name}.parquet"
+        written.write.parquet(str(path))
+        if as_file:
+            shutil.copy(next(path.glob("part-*.parquet")), folder / f"{name}.parquet")
+    expected = {(text, kind) for _, rows in tables.values() for text, kind in rows}
+    assert values(listings.streamed_append(spark, str(folder))) == sorted(expected, key=str)
+
+
 def test_distinct_operators(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "b", 1)], "id int, k string, n int")
     assert values(distinct.distinct_rows(df.drop("id"))) == [("a", None), ("b", 1)]
