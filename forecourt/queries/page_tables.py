@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from forecourt.params import SITE_B, Budget, CleanRules, Site
@@ -14,6 +16,8 @@ from forecourt.sources.listing_links import distinct_links, page_addresses, page
 from forecourt.sources.page_fields import Field, Items, Where, page_fields
 
 _BASE = "https://example.net"
+# Some seconds of scanning.
+PAGES_PER_TASK = 10_000
 _HREFS = """regexp_extract_all(html, '<a href="([^"]*)"', 1)"""
 _ABSOLUTE = f"CASE WHEN starts_with(h, 'http') THEN h ELSE '{_BASE}' || h END"
 
@@ -100,8 +104,13 @@ CASE WHEN p_size > 5 THEN CAST(20 + p_size AS VARCHAR) END AS power_kw
 _REASON_A = "CASE WHEN p_size <= 5 THEN 'no power_kw' WHEN p_size >= 45 THEN 'no volume_l' END"
 
 
-def pages_a(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "part").select(
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows in as many tasks as their pages need: Spark cuts files by size, and a few MB of rows make GBs of pages."""
+    return rows.repartition(max(1, math.ceil(rows.count() / PAGES_PER_TASK)))
+
+
+def pages_a(part: DataFrame) -> DataFrame:
+    return part.select(
         F.expr(f"concat('{_BASE}/auto/', p_partkey)").alias("url"), F.expr(_PAGE_A).alias("html"), "p_partkey"
     )
 
@@ -109,7 +118,7 @@ def pages_a(spark, sf_dir) -> DataFrame:
 @query(f"SELECT concat('{_BASE}/auto/', p_partkey) AS url, {_FIELDS_A}, {_REASON_A} AS reject_reason FROM part")
 def extract_source_a(spark, sf_dir):
     """Listing, or reason for none, of every detail page of source A."""
-    return extract_a(pages_a(spark, sf_dir))
+    return extract_a(pages_a(_dealt(table(spark, sf_dir, "part"))))
 
 
 # A detail page of source B for every customer. The poor ones have no readable engine.
@@ -138,8 +147,8 @@ c_mktsegment AS fuel, c_name AS transmission, CAST(40 + c_nationkey AS VARCHAR)
 _URL_B = "concat('https://example.net/detail/', lower(c_mktsegment), '/model-x', c_nationkey, '/', c_custkey)"
 
 
-def pages_b(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.expr(_URL_B).alias("url"), F.expr(_PAGE_B).alias("html"))
+def pages_b(customer: DataFrame) -> DataFrame:
+    return customer.select(F.expr(_URL_B).alias("url"), F.expr(_PAGE_B).alias("html"))
 
 
 @query(f"""
@@ -149,7 +158,7 @@ FROM customer
 """)
 def extract_source_b(spark, sf_dir):
     """Listing, or reason for none, of every detail page of source B."""
-    return extract_b(pages_b(spark, sf_dir))
+    return extract_b(pages_b(_dealt(table(spark, sf_dir, "customer"))))
 
 
 _BUILD_RULES = CleanRules(
@@ -174,8 +183,8 @@ _BUILD_RULES = CleanRules(
 ))
 def build_from_pages(spark, sf_dir):
     """Detail pages of both sources to the clean table."""
-    a = accepted(extract_a(pages_a(spark, sf_dir))).drop("url")
-    b = accepted(extract_b(pages_b(spark, sf_dir))).drop("url")
+    a = accepted(extract_source_a(spark, sf_dir)).drop("url")
+    b = accepted(extract_source_b(spark, sf_dir)).drop("url")
     return build_clean(a, b, _BUILD_RULES)
 
 
@@ -192,7 +201,7 @@ SELECT * EXCLUDE (page) FROM first_seen WHERE page IN (SELECT page FROM taken)
 """)
 def collect_source_a(spark, sf_dir):
     """Result pages of 20 links, their detail pages, first listing per key, page budget of 1,000 listings."""
-    details = pages_a(spark, sf_dir)
+    details = pages_a(table(spark, sf_dir, "part"))
     link = F.expr("concat('<a href=\"/auto/', p_partkey, '\" class=\"car_item new\">x</a>')")
     # Two pages show each listing; the later one adds nothing.
     shown = details.select(link.alias("link"), F.explode(F.expr("array(p_partkey div 20 + 1, p_partkey div 20 + 2)")).alias("page"))
@@ -217,7 +226,7 @@ SELECT * EXCLUDE (page) FROM first_seen WHERE page IN (SELECT page FROM taken)
 """)
 def collect_source_b(spark, sf_dir):
     """Result pages of 15 links with the whole class attribute of source B, in waves of 16, 32, ... pages."""
-    details = pages_b(spark, sf_dir)
+    details = pages_b(table(spark, sf_dir, "customer"))
     number = F.element_at(F.split("url", "/"), -1).cast("int")
     links = F.concat(
         F.lit(f'<a class="{SITE_B.link_class}" href="'), "url", F.lit('">x</a><a class="c-item__link" href="'), "url", F.lit('0">no</a>')

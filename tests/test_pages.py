@@ -11,6 +11,7 @@ from forecourt.params import SITE_A, SITE_B, Budget
 from forecourt.plans.build import build_clean
 from forecourt.plans.collect import collect_a, collect_b, first_page_of_link, frontier_listings
 from forecourt.params import CleanRules
+from forecourt.queries import page_tables
 from forecourt.schema import RAW_A, RAW_B
 from forecourt.sources import page_fields as page_fields_module
 from forecourt.sources.detail_pages import accepted, extract_a, extract_b, rejected
@@ -150,6 +151,34 @@ def test_a_fault_rejects_its_page_alone(spark, monkeypatch):
     assert out == {"u1": None, "u2": "unreadable page", "u3": "unreadable page"}
 
 
+def test_rows_of_one_file_make_pages_in_many_tasks(spark, tmp_path, monkeypatch):
+    ids = spark.range(200).coalesce(1)
+    # Keys that come twice and null ones are pages of their own.
+    key = F.when(F.col("id") % 10 != 0, F.col("id") % 90).cast("int")
+    part = ids.select(
+        key.alias("p_partkey"), F.lit("blush red").alias("p_name"), F.lit("ECONOMY").alias("p_type"), F.lit("Brand#11").alias("p_brand"),
+        (F.col("id") % 50).cast("int").alias("p_size"), (F.col("id") + 900.5).alias("p_retailprice"),
+    )
+    customer = ids.select(
+        key.alias("c_custkey"), (F.col("id") % 25).cast("int").alias("c_nationkey"), F.lit("Customer 2").alias("c_name"),
+        F.lit("MACHINERY").alias("c_mktsegment"), (F.col("id") * 10.5 + 150).alias("c_acctbal"),
+    )
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    customer.write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(page_tables, "PAGES_PER_TASK", 25)
+
+    def rows(df):
+        return sorted(map(str, df.collect()))
+
+    a, b = extract_a(page_tables.pages_a(part)), extract_b(page_tables.pages_b(customer))
+    for query, plain in ((page_tables.extract_source_a, a), (page_tables.extract_source_b, b)):
+        found = query(spark, str(tmp_path))
+        assert found.select(F.spark_partition_id()).distinct().count() == 8
+        assert rows(found) == rows(plain)
+    built = page_tables.build_from_pages(spark, str(tmp_path))
+    assert rows(built) == rows(build_clean(accepted(a).drop("url"), accepted(b).drop("url"), page_tables._BUILD_RULES)) != []
+
+
 def test_little_of_a_page_leaves_its_task(spark):
     filler = "<div><ul><li>x</li></ul><span>filler text</span></div>" * 300
     page = spark.createDataFrame([("u", filler.replace("<li>x</li>", "") + PAGE_A + filler.replace("<li>x</li>", ""))], "url string, html string")
