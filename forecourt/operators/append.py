@@ -11,6 +11,7 @@ from forecourt.session import scratch_path
 from forecourt.sources.tables import read_table_or_none
 
 BATCH, WRITER, DIGEST = "batch_id", "writer", "key_digest"
+ROW = "key_digest_row"  # number of a row in a batch as it was written
 # Folders of this name lie beside the batches; Spark does not take them for rows of the target.
 FILTERS = "_filters"
 CELL_BITS = 32_768  # of a filter's cell, the size of Spark's bitmaps
@@ -40,11 +41,20 @@ def _cells(digest: Column, cells: Column) -> list[Column]:
     ]
 
 
+def _by_cell(rows: DataFrame) -> DataFrame:
+    """The rows dealt and sorted by cell, to be joined to bitmaps.
+
+    Bitmaps begun before the shuffle would cross it from every task, each task's nearly as large as all together.
+    """
+    return rows.repartition("cell").sortWithinPartitions("cell")
+
+
 def _write_filter(rows: DataFrame, n: int, path: str) -> None:
-    """The folder's digests as bitmaps, one row a cell; bits are joined in each task before the shuffle."""
+    """The folder's digests as bitmaps, one row a cell."""
     cells = 1 << max(0, math.ceil(math.log2(max(1, n * KEY_BITS / CELL_BITS))))
-    bits = rows.select(*_cells(F.col(DIGEST), F.lit(cells))).select("cell", F.explode("bits").alias("bit"))
-    bitmaps = bits.groupBy("cell").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    cell, bits = _cells(F.col(DIGEST), F.lit(cells))
+    dealt = _by_cell(rows.select(DIGEST, cell)).select("cell", F.explode(bits).alias("bit"))
+    bitmaps = dealt.groupBy("cell").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
     bitmaps.select(F.lit(cells).alias("cells"), "cell", "bitmap").write.mode("overwrite").parquet(path)
 
 
@@ -89,6 +99,20 @@ def unknown_digests(arriving: DataFrame, stored: DataFrame, small: bool) -> Data
     return arriving.join(held, DIGEST, "left_anti")
 
 
+def _rows_at(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The rows with the numbers given, where they lie: the numbers go to every task as bitmaps, a bit a row."""
+
+    def place(number: Column) -> tuple[Column, Column]:
+        return F.shiftright(number, CELL_BITS.bit_length() - 1), number.bitwiseAND(CELL_BITS - 1)
+
+    cell, bit = place(F.col(ROW))
+    dealt = _by_cell(numbers.select(cell.alias("cell"), bit.alias("bit")))
+    bitmaps = F.broadcast(dealt.groupBy("cell").agg(F.bitmap_construct_agg("bit").alias("bitmap")))
+    cell, bit = place(rows[ROW])
+    met = rows.join(bitmaps, cell == bitmaps["cell"]).filter(_is_set(bitmaps["bitmap"], bit))
+    return met.select(*[rows[c] for c in rows.columns])
+
+
 def append_new(
     batch: DataFrame, target: str, keys: list[str], batch_id: int, writer: str, small_batch: int = SMALL_BATCH
 ) -> DataFrame:
@@ -104,12 +128,17 @@ def append_new(
     folder, so none overwrites or leaves out rows of another. One writer must not number two
     different batches alike. Writers that run at the same time don't see each other. All rows of a
     target must come by this function, with the same keys.
+
+    The batch is written once as it comes. Digests and row numbers alone are shuffled, to find one
+    row for each key that is new; those rows are then taken from the written batch.
     """
     path = batch_folder(target, batch_id, writer)
     spark = batch.sparkSession
-    cut = scratch_path(spark, "arriving")
-    batch.withColumn(DIGEST, key_digest(keys)).dropDuplicates([DIGEST]).write.parquet(cut)
-    arriving = spark.read.parquet(cut)
+    cut, firsts = scratch_path(spark, "arriving"), scratch_path(spark, "arriving-keys")
+    batch.withColumns({DIGEST: key_digest(keys), ROW: F.monotonically_increasing_id()}).write.parquet(cut)
+    whole = spark.read.parquet(cut)
+    whole.groupBy(DIGEST).agg(F.min(ROW).alias(ROW)).write.parquet(firsts)
+    arriving = spark.read.parquet(firsts)
     n = arriving.count()
     small = n <= small_batch
     folders = possible_folders(spark, target, arriving) if small else None
@@ -121,5 +150,5 @@ def append_new(
         others = stored.filter(~((F.col(WRITER) == writer) & (F.col(BATCH) == batch_id)))
         fresh = unknown_digests(arriving, others, small)
     _write_filter(arriving, n, f"{target}/{FILTERS}/{WRITER}={writer}/{BATCH}={batch_id}")
-    fresh.select(*batch.columns, DIGEST).write.mode("overwrite").parquet(path)
+    _rows_at(whole, fresh).select(*batch.columns, DIGEST).write.mode("overwrite").parquet(path)
     return spark.read.schema(batch.schema).parquet(path)

@@ -1,14 +1,17 @@
 """Distinct, append, budget, lookups, filters, tables."""
 
 import random
+import re
 import shutil
 
 import pytest
 from pyspark.errors import AnalysisException
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 from forecourt.operators import distinct, filters, lookups
-from forecourt.operators.append import DIGEST, append_new, key_digest, possible_folders, stored_digests, unknown_digests
+from forecourt.operators.append import (
+    DIGEST, _write_filter, append_new, key_digest, possible_folders, stored_digests, unknown_digests,
+)
 from forecourt.operators.columns import convert_volume, evaluate_once
 from forecourt.operators.numbering import numbered
 from forecourt.operators.page_budget import pages_taken
@@ -125,6 +128,52 @@ def test_small_batch_reads_only_folders_that_may_hold_it(spark, tmp_path):
     assert "Exchange hashpartitioning" not in below and "ReadSchema: struct<key_digest:binary>" in below
 
 
+def shuffled_plans(plan):
+    """What lies below each shuffle of a plan."""
+    lines = plan.split("\n")
+    depths = [len(re.match(r"[\s:|+-]*", line)[0]) for line in lines]
+    for i, line in enumerate(lines):
+        if re.search(r"(?<!Broadcast)Exchange ", line):
+            end = next((j for j in range(i + 1, len(lines)) if depths[j] <= depths[i]), len(lines))
+            yield "\n".join(lines[i:end])
+
+
+@pytest.mark.parametrize("small_batch", [0, 100_000])
+def test_append_shuffles_digests_only(spark, tmp_path, monkeypatch, small_batch):
+    plans, write = [], DataFrameWriter.parquet
+
+    def watched(writer, path, *args, **options):
+        plans.append(writer._df._jdf.queryExecution().executedPlan().toString())
+        return write(writer, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    target = str(tmp_path / "target")
+    # Keys come up to three times, in the same and in other tasks, and are null; the rest of their rows differs.
+    rows = [(None if i % 50 == 0 else f"k{i % 400}", i % 3 or None, f"long text {i}") for i in range(1000)]
+    for low in (0, 200):
+        batch = spark.createDataFrame(rows[low : low + 800], "k string, n int, body string").repartition(4)
+        append_new(batch, target, ["k", "n"], low, "w", small_batch)
+    below = [part for plan in plans for part in shuffled_plans(plan) if "key_digest" in part]
+    assert len(below) >= 6 and not any("body" in part for part in below)
+    stored = spark.read.parquet(target)
+    assert values(stored.select("k", "n")) == sorted({r[:2] for r in rows}, key=str)
+    assert {tuple(r) for r in stored.select("k", "n", "body").collect()} <= set(rows)
+
+
+def test_filter_grows_with_its_keys_only(spark, tmp_path, monkeypatch):
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(
+        DataFrameWriter, "parquet",
+        lambda w, path: (plans.append(w._df._jdf.queryExecution().executedPlan().toString()), write(w, path))[1],
+    )
+    digests = spark.range(5000, numPartitions=4).select(key_digest(["id"]).alias(DIGEST))
+    _write_filter(digests, 5000, str(tmp_path / "filter"))
+    # No bitmaps are begun before the shuffle.
+    assert not any("bitmap_construct_agg" in part for part in shuffled_plans(plans[0]))
+    kept = spark.read.parquet(str(tmp_path / "filter"))
+    assert kept.select("cell").distinct().count() == kept.count() == kept.first()["cells"]
+
+
 def test_filters_admit_every_stored_key(spark, tmp_path):
     target = str(tmp_path / "target")
     rows = spark.range(20_000).select("id")
